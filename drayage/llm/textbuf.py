@@ -6,6 +6,8 @@ A record batch is cut into slices of whole documents. A slice is a byte buffer
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,3 +116,14 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
         out = (out ^ h[k : k + m]) * U64(0xE7037ED1A0B428DB)
         out ^= out >> U64(32)
     return mix(out)
+
+
+#: What `\w` takes for letters though Unicode has them as other numbers.
+NUMBER_LETTERS = frozenset(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
+#: White space to Python's ``re``, but not to the tokenizers.
+_SEPARATORS = tuple("\x1c\x1d\x1e\x1f")
+
+
+def has_any(text: str, odd: frozenset[str]) -> bool:
+    """Whether a text has a control that Python takes for white space, or a character of ``odd``."""
+    return any(c in text for c in _SEPARATORS) or not text.isascii() and not odd.isdisjoint(text)
