@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from drayage.llm import ann, topk
+from drayage.llm import ann, bpe, langid, packing, topk
 from drayage.llm.store import table
 
+
+def _op8(spark, d):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.tokenised(table(spark, d, "documents"), path, public_tokenizers.PATTERN, ids=False)
+
+
 QUERIES = {
+    "op3_language_id": lambda spark, d: langid.predictions(table(spark, d, "documents")),
     "op6_ann_search": lambda spark, d: ann.search(table(spark, d, "embeddings")),
     "op7_exact_topk": lambda spark, d: topk.search(table(spark, d, "embeddings")),
+    "op8_byte_bpe": _op8,
+    "op9_packing": lambda spark, d: packing.packed(table(spark, d, "documents")),
 }
 
 ORACLES = {
