@@ -15,6 +15,7 @@ import bisect
 import re
 import unicodedata
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -77,11 +78,17 @@ class Words:
         return [np.array(self.t.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if p is None else b"".join([cache[w] for w in p]) for t, p in zip(texts, parts)]
 
 
+@lru_cache(maxsize=2)
+def _words(path: str) -> Words:
+    """One for all tasks of a worker: they share what it remembers."""
+    return Words(path)
+
+
 def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = 2, ids: bool = True) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): each document's ids and ``end``, cut into pieces of ``size`` and a rest."""
 
     def run(batches):
-        words, last = Words(path), np.array([end], "<u4").tobytes()
+        words, last = _words(path), np.array([end], "<u4").tobytes()
         for b in batches:
             texts, at = b.column("text"), b.column("doc_id")
             for lo in range(0, b.num_rows, 256):
