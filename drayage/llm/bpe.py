@@ -14,6 +14,7 @@ import base64
 import hashlib
 import heapq
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -155,6 +156,12 @@ def _pattern_default() -> str:
     return public_tokenizers.PATTERN
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str, pattern: str) -> Encoder:
+    """One for all tasks of a worker: they share what it remembers."""
+    return Encoder(path, pattern)
+
+
 def tokenised(docs: DataFrame, path: str, pattern: str | None = None, ids: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) and, unless ``ids`` is false, the ids as an array.
 
@@ -164,7 +171,7 @@ def tokenised(docs: DataFrame, path: str, pattern: str | None = None, ids: bool
     pattern = pattern or _pattern_default()
 
     def run(batches):
-        enc = Encoder(path, pattern)
+        enc = _encoder(path, pattern)
         for b in batches:
             n, a, d, full = [], [], [], []
             for t in b.column("text").to_pylist():
