@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from drayage.llm import ann, bpe, langid, packing, topk
+from drayage.llm import ann, bpe, langid, lm, packing, topk
 from drayage.llm.store import table
 
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op7_exact_topk": lambda spark, d: topk.search(table(spark, d, "embeddings")),
     "op8_byte_bpe": _op8,
     "op9_packing": lambda spark, d: packing.packed(table(spark, d, "documents")),
+    "op10_lm_scoring": lambda spark, d: lm.scores(table(spark, d, "documents")),
 }
 
 ORACLES = {
