@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from drayage.llm import ann, bpe, langid, lm, packing, topk
+from drayage.llm import ann, bpe, langid, lm, packing, substring, topk
 from drayage.llm.store import table
 
 
@@ -14,6 +14,7 @@ def _op8(spark, d):
 
 
 QUERIES = {
+    "op1_substring_dedup": lambda spark, d: substring.passages(table(spark, d, "documents")),
     "op3_language_id": lambda spark, d: langid.predictions(table(spark, d, "documents")),
     "op6_ann_search": lambda spark, d: ann.search(table(spark, d, "embeddings")),
     "op7_exact_topk": lambda spark, d: topk.search(table(spark, d, "embeddings")),
