@@ -111,7 +111,7 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(m, U64(n) * U64(0xA0761D6478BD642F), np.uint64)
+    out = np.full(m, n * 0xA0761D6478BD642F & (1 << 64) - 1, np.uint64)
     for k in range(n):
         out = (out ^ h[k : k + m]) * U64(0xE7037ED1A0B428DB)
         out ^= out >> U64(32)
