@@ -7,12 +7,13 @@ the sizes allow only a block of positions to link with a set, so all other
 blocks are skipped.
 
 Answers are derived rather than found anew. A set takes over the answers of a
-set that it links with, as only what hangs together is asked: in every round a
-list pairs one set of each block with one of each component that is not yet
-joined to it, and what turns out alike is merged. The last round pairs all that
-is still apart, so no link between components is missed. A pair is checked
-first by counts of its shingles in 512 bins, which bound the intersection, and
-only then by the sets themselves.
+set that it links with, as only what hangs together is asked: in a hub round
+the sets of a block are checked with a few hubs that many lists have in common,
+and what turns out alike is merged. The last round pairs all sets that are still apart,
+so no link between components is missed. The lists that two sets share are all
+that they have in common up to the end of one prefix, which bounds the
+intersection; counts of shingles in bins bound it again; sets are compared only
+where both bounds allow a link.
 
 Every step is a join, an aggregate or a sorted stream. Components are found
 on executors, by contraction of edges. A side is broadcast only if counted and
@@ -30,7 +31,9 @@ from drayage.llm import textbuf as tb
 from drayage.llm.store import cut
 
 WORDS, NUM, DEN = 5, 80, 100
-BINS, ROUNDS = 512, 3
+BINS = 256
+#: Hub rounds, and hubs of a block in each.
+ROUNDS, HUBS = 3, 32
 #: Most rows that a broadcast side may have (16 bytes each).
 SMALL = 1_000_000
 #: Shingles counted before a task sums up, the least count it then reports, and most frequent ones that are told apart.
@@ -108,7 +111,8 @@ def _runs(columns: list[str]):
                     c = {k: np.concatenate([rest[k], c[k]]) for k in columns}
                 if not len(c["h"]):
                     continue
-                last = np.searchsorted(c["h"], c["h"][-1]) if c["h"][0] <= c["h"][-1] else 0
+                differ = np.flatnonzero(c["h"] != c["h"][-1])
+                last = differ[-1] + 1 if len(differ) else 0
                 rest = {k: v[last:] for k, v in c.items()}
                 if last:
                     yield from fn({k: v[:last] for k, v in c.items()}, False)
@@ -122,51 +126,54 @@ def _runs(columns: list[str]):
 
 
 def _shared(c, end):
-    """The rows of lists that hold two sets or more."""
+    """The rows of lists that hold two sets or more, with the list's set that comes first by hash."""
     if end:
         return
     h = c["h"]
-    same = h[1:] == h[:-1]
-    on = np.r_[False, same] | np.r_[same, False]
-    for lo in range(0, int(on.sum()), 100_000):
-        at = np.flatnonzero(on)[lo : lo + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(c[k][at]) for k in ("h", "n", "rep")], ["h", "n", "rep"])
+    cuts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    many = np.diff(np.r_[cuts, len(h)])
+    c["g"] = np.repeat(np.minimum.reduceat(tb.mix(c["rep"].view(np.uint64)) >> np.uint64(1), cuts), many).view(np.int64)
+    on = np.flatnonzero(np.repeat(many, many) > 1)
+    for lo in range(0, len(on), 100_000):
+        at = on[lo : lo + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(c[k][at]) for k in ("g", "h", "n", "rep")], ["g", "h", "n", "rep"])
 
 
 def _candidates(turn: int | None):
-    """Pairs to check: by hubs in round ``turn``, or, if None, all that lie in different components."""
+    """Rows (x, y, nx, ny, lists): pairs that share lists, with hubs as x in round ``turn``, or, if None, all of different components."""
 
     def make():
-        found: list[np.ndarray] = []
+        held: list[np.ndarray] = []
         size = 0
 
+        def summed():
+            # equal pairs become neighbours and are counted
+            p = np.concatenate(held)
+            p = p[np.lexsort((p[:, 1], p[:, 0]))]
+            new = np.flatnonzero(np.r_[True, (p[1:, :2] != p[:-1, :2]).any(1)])
+            times = np.diff(np.r_[new, len(p)])
+            return pa.RecordBatch.from_arrays([*(pa.array(p[new, k].copy()) for k in range(4)), pa.array(times.astype(np.int64))], ["x", "y", "nx", "ny", "lists"])
+
         def fn(c, end):
-            nonlocal found, size
+            nonlocal held, size
             if not end:
                 cuts = np.flatnonzero(np.r_[True, c["h"][1:] != c["h"][:-1]])
                 for a, z in zip(cuts, np.r_[cuts[1:], len(c["h"])]):
                     comp = c["comp"][a:z]
                     if (comp == comp[0]).all():
                         continue
-                    for p in _all(c["n"][a:z], c["rep"][a:z], comp) if turn is None else _hubs(c["n"][a:z], c["rep"][a:z], comp, turn):
-                        found.append(p)
+                    for p in (_all if turn is None else _hubs)(c["n"][a:z].astype(np.int64), c["rep"][a:z], comp, c["lists"][a:z], turn):
+                        held.append(p)
                         size += len(p)
-                        if size > 1_000_000:
-                            found = [np.unique(np.concatenate(found), axis=0)]
-                            size = len(found[0])
-                            if size > 500_000:
-                                yield _pairs(found[0])
-                                found, size = [], 0
-            elif found:
-                yield _pairs(np.unique(np.concatenate(found), axis=0))
+                        if size > FLUSH // 2:
+                            yield summed()
+                            held, size = [], 0
+            elif held:
+                yield summed()
 
         return fn
 
-    return lambda batches: _runs(["h", "n", "rep", "comp"])(make())(batches)
-
-
-def _pairs(p: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["x", "y"])
+    return lambda batches: _runs(["h", "n", "rep", "comp", "lists"])(make())(batches)
 
 
 def _reach(n: np.ndarray) -> np.ndarray:
@@ -174,26 +181,39 @@ def _reach(n: np.ndarray) -> np.ndarray:
     return np.searchsorted(n, n * DEN // NUM, "right")
 
 
-def _hubs(n, rep, comp, turn):
+def _needed(nx, ny):
+    """Lists that sets of these sizes share if they link: the intersection's least, less what the prefixes leave unseen."""
+    unseen = np.maximum(-(-NUM * nx // DEN), -(-NUM * ny // DEN)) - 1
+    return (nx + ny) * NUM / (NUM + DEN) - unseen - 1e-6
+
+
+def _hubs(n, rep, comp, lists, turn):
+    """In each block, the sets that come first by a hash of this round, with all sets of other components."""
     a, reach = 0, _reach(n)
     while a < len(n):
         z = int(reach[a])
-        if z - a > 1:
-            mixed = tb.mix(rep[a:z].view(np.uint64) + np.uint64(turn * 0x9E3779B9))
-            hub = int(mixed.argmin()) if turn else 0
-            _, first = np.unique(comp[a:z], return_index=True)
-            first = first[comp[a:z][first] != comp[a + hub]]
-            if len(first):
-                other = rep[a:z][first]
-                yield np.stack([np.minimum(other, rep[a + hub]), np.maximum(other, rep[a + hub])], 1)
+        mixed = tb.mix(rep[a:z].view(np.uint64) + np.uint64(turn * 0x9E3779B9))
+        first = np.argsort(mixed, kind="stable")[:HUBS]
+        place = np.full(z - a, HUBS)
+        place[first] = np.arange(len(first))
+        for k, hub in enumerate(first):
+            other = a + np.flatnonzero((comp[a:z] != comp[a + hub]) & (place > k))
+            if len(other):
+                yield _rows(n, rep, lists, other, a + hub)
         a = z
 
 
-def _all(n, rep, comp):
+def _rows(n, rep, lists, other, i):
+    other = other[np.minimum(lists[other], lists[i]) >= _needed(n[other], n[i])]
+    swap = rep[other] < rep[i]
+    return np.stack([np.where(swap, rep[other], rep[i]), np.where(swap, rep[i], rep[other]), np.where(swap, n[other], n[i]), np.where(swap, n[i], n[other])], 1)
+
+
+def _all(n, rep, comp, lists, _):
     for i, z in enumerate(_reach(n)):
-        other = rep[i + 1 : z][comp[i + 1 : z] != comp[i]]
+        other = i + 1 + np.flatnonzero(comp[i + 1 : z] != comp[i])
         if len(other):
-            yield np.stack([np.minimum(other, rep[i]), np.maximum(other, rep[i])], 1)
+            yield _rows(n, rep, lists, other, i)
 
 
 def _whole(batches):
@@ -203,7 +223,7 @@ def _whole(batches):
             own = sets(buf, starts)
             bins = []
             for x in own:
-                c = np.bincount((x >> np.uint64(64 - 9)).astype(np.int64), minlength=BINS)
+                c = np.bincount((x >> np.uint64(64 - 8)).astype(np.int64), minlength=BINS)
                 bins.append(c.astype(np.uint8 if c.max(initial=0) < 256 else np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array([len(x) for x in own], pa.int64()), pa.array(bins, pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["rep", "n", "bins", "raw"])
 
@@ -238,14 +258,13 @@ def _do_link(batches):
 
 
 def _checked(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """The pairs that link."""
-    pairs = pairs.distinct()
+    """The pairs (x, y) that link."""
     one = whole.select(F.col("rep").alias("x"), F.col("n").alias("n1"), F.col("bins").alias("b1"))
     two = whole.select(F.col("rep").alias("y"), F.col("n").alias("n2"), F.col("bins").alias("b2"))
-    may = cut(pairs.join(one, "x").join(two, "y").mapInArrow(_may_link, "x long, y long").distinct())
-    one = whole.select(F.col("rep").alias("x"), F.col("raw").alias("r1"))
-    two = whole.select(F.col("rep").alias("y"), F.col("raw").alias("r2"))
-    return may.join(one, "x").join(two, "y").mapInArrow(_do_link, "x long, y long")
+    may = cut(pairs.join(one, "x").join(two, "y").mapInArrow(_may_link, "x long, y long"))
+    one = whole.join(may.select(F.col("x").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("x"), F.col("raw").alias("r1"))
+    two = whole.join(may.select(F.col("y").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("y"), F.col("raw").alias("r2"))
+    return may.join(two, "y").join(one, "x").mapInArrow(_do_link, "x long, y long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -253,13 +272,11 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
     roots = None
     while True:
+        # each node points to its least neighbour, if less than itself, and from there once more
         both = edges.union(edges.select("y", "x"))
         up = both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("root"))
-        if roots is None and edges.isEmpty():
-            return up
-        for _ in range(2):  # pointers to pointers
-            over = up.select(F.col("node").alias("root"), F.col("root").alias("over"))
-            up = cut(up.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root")))
+        over = up.select(F.col("node").alias("root"), F.col("root").alias("over"))
+        up = cut(up.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root")))
         if roots is None:
             roots = up
         else:
@@ -309,21 +326,30 @@ def join(docs: DataFrame) -> DataFrame:
     n_copies = copies.count()
     firsts = docs.where("doc_id is not null").join(_small(copies.select("doc_id").distinct(), n_copies), "doc_id", "left_anti")
     rows = firsts.mapInArrow(index, "h long, n int, rep long").repartition("h").sortWithinPartitions("h", "n", "rep")
-    lists = cut(rows.mapInArrow(_runs(["h", "n", "rep"])(_shared), "h long, n int, rep long"))
-    nodes = cut(lists.select("rep").distinct())
+    lists = rows.mapInArrow(_runs(["h", "n", "rep"])(_shared), "g long, h long, n int, rep long")
+    # lists that begin alike go together: the pairs that they repeat are counted where they are found
+    lists = cut(lists.repartition("g").sortWithinPartitions("g", "h", "n", "rep"))
+    nodes = cut(lists.groupBy("rep").agg(F.count("*").alias("lists")))
     n_nodes = nodes.count()
-    whole = cut(docs.join(_small(nodes.select(F.col("rep").alias("doc_id")), n_nodes), "doc_id", "left_semi").mapInArrow(_whole, "rep long, n long, bins binary, raw binary"))
 
-    labels = nodes.select("rep", F.col("rep").alias("comp"))
+    labels = nodes.select("rep", F.col("rep").alias("comp"), "lists")
     for turn in [*range(ROUNDS), None]:
         marked = lists.join(_small(labels, n_nodes), "rep")
         if n_nodes > SMALL:
-            marked = marked.repartition("h").sortWithinPartitions("h", "n", "rep")
-        new = _checked(marked.select("h", "n", "rep", "comp").mapInArrow(_candidates(turn), "x long, y long"), whole)
+            marked = marked.repartition("g").sortWithinPartitions("g", "h", "n", "rep")
+        pairs = marked.select("h", "n", "rep", "comp", "lists").mapInArrow(_candidates(turn), "x long, y long, nx long, ny long, lists long")
+        pairs = pairs.groupBy("x", "y", "nx", "ny").agg(F.sum("lists").alias("lists"))
+        unseen = lambda n: F.ceil(n * NUM / DEN) - 1  # what a set has after its prefix
+        short = (F.col("nx") + F.col("ny")) * NUM / (NUM + DEN) - F.greatest(unseen(F.col("nx")), unseen(F.col("ny")))  # lists that a link needs
+        # hubs are not seen in all their lists: a hub round takes what has half of that
+        pairs = cut(pairs.where(F.col("lists") >= (short if turn is None else short / 2) - 1e-6).select("x", "y"))
+        named = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
+        whole = cut(docs.join(_small(named, n_nodes), "doc_id", "left_semi").mapInArrow(_whole, "rep long, n long, bins binary, raw binary"))
+        new = _checked(pairs, whole)
         at = labels.select(F.col("rep").alias("x"), F.col("comp").alias("cx"))
         bt = labels.select(F.col("rep").alias("y"), F.col("comp").alias("cy"))
         edges = new.join(at, "x").join(bt, "y").select(F.col("cx").alias("x"), F.col("cy").alias("y"))
         up = components(edges).select(F.col("node").alias("comp"), "root")
-        labels = cut(labels.join(up, "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp")))
-    out = base.join(copies, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(labels, "rep", "left")
+        labels = cut(labels.join(up, "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp"), "lists"))
+    out = base.join(copies, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(labels.select("rep", "comp"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
