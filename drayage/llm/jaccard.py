@@ -95,7 +95,7 @@ def prefix(x: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return rare[:p] if len(rare) >= p else np.concatenate([rare, x[c > 0][np.argsort(c[c > 0], kind="stable")][: p - len(rare)]])
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
+def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL else df.hint("merge")
 
 
@@ -324,7 +324,7 @@ def join(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.repeat([len(x) for x in own], k).astype(np.int32)), pa.array(np.repeat(ids[lo:hi], k))], ["h", "n", "rep"])
 
     n_copies = copies.count()
-    firsts = docs.where("doc_id is not null").join(_small(copies.select("doc_id").distinct(), n_copies), "doc_id", "left_anti")
+    firsts = docs.where("doc_id is not null").join(small(copies.select("doc_id").distinct(), n_copies), "doc_id", "left_anti")
     rows = firsts.mapInArrow(index, "h long, n int, rep long").repartition("h").sortWithinPartitions("h", "n", "rep")
     lists = rows.mapInArrow(_runs(["h", "n", "rep"])(_shared), "g long, h long, n int, rep long")
     # lists that begin alike go together: the pairs that they repeat are counted where they are found
@@ -334,7 +334,7 @@ def join(docs: DataFrame) -> DataFrame:
 
     labels = nodes.select("rep", F.col("rep").alias("comp"), "lists")
     for turn in [*range(ROUNDS), None]:
-        marked = lists.join(_small(labels, n_nodes), "rep")
+        marked = lists.join(small(labels, n_nodes), "rep")
         if n_nodes > SMALL:
             marked = marked.repartition("g").sortWithinPartitions("g", "h", "n", "rep")
         pairs = marked.select("h", "n", "rep", "comp", "lists").mapInArrow(_candidates(turn), "x long, y long, nx long, ny long, lists long")
@@ -344,7 +344,7 @@ def join(docs: DataFrame) -> DataFrame:
         # hubs are not seen in all their lists: a hub round takes what has half of that
         pairs = cut(pairs.where(F.col("lists") >= (short if turn is None else short / 2) - 1e-6).select("x", "y"))
         named = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
-        whole = cut(docs.join(_small(named, n_nodes), "doc_id", "left_semi").mapInArrow(_whole, "rep long, n long, bins binary, raw binary"))
+        whole = cut(docs.join(small(named, n_nodes), "doc_id", "left_semi").mapInArrow(_whole, "rep long, n long, bins binary, raw binary"))
         new = _checked(pairs, whole)
         at = labels.select(F.col("rep").alias("x"), F.col("comp").alias("cx"))
         bt = labels.select(F.col("rep").alias("y"), F.col("comp").alias("cy"))

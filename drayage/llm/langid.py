@@ -133,8 +133,13 @@ def identify(docs: DataFrame, train: DataFrame, per_lang: int = 4000) -> DataFra
     return out.select(*[F.col(k).alias(c) for k, c in zip(kept, docs.columns)], F.when(F.col("__und"), "und").otherwise(F.col("lang_pred")).alias("lang_pred"), F.when(F.col("__und"), 0.0).otherwise(F.col("score")).alias("score"))
 
 
+def held_out(docs: DataFrame) -> F.Column:
+    """Rows that nothing is learned from."""
+    return fold(F.col("doc_id"), 3) == 1
+
+
 def predictions(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document; learned from those not held out."""
-    held = fold(F.col("doc_id"), 3) == 1
+    held = held_out(documents)
     out = identify(documents.select("doc_id", "text"), documents.where(~held).select("doc_id", "text", "lang"))
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from drayage.llm import ann, bpe, jaccard, langid, lm, packing, pii, substring, topk
+from drayage.llm import ann, bpe, jaccard, langid, lm, packing, pii, quality, substring, topk
 from drayage.llm.store import table
 
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op2_jaccard_join": lambda spark, d: jaccard.join(table(spark, d, "documents")),
     "op3_language_id": lambda spark, d: langid.predictions(table(spark, d, "documents")),
     "op4_pii": lambda spark, d: pii.report(table(spark, d, "documents")),
+    "op5_quality": lambda spark, d: quality.scores(table(spark, d, "documents"), table(spark, d, "labels")),
     "op6_ann_search": lambda spark, d: ann.search(table(spark, d, "embeddings")),
     "op7_exact_topk": lambda spark, d: topk.search(table(spark, d, "embeddings")),
     "op8_byte_bpe": _op8,
