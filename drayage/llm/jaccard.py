@@ -9,7 +9,7 @@ blocks are skipped.
 Answers are derived rather than found anew. A set takes over the answers of a
 set that it links with, as only what hangs together is asked: in a hub round
 the sets of a block are checked with a few hubs that many lists have in common,
-and what turns out alike is merged. The last round pairs all sets that are still apart,
+and what turns out alike is merged. Short lists are paired whole. The last round pairs all sets that are still apart,
 so no link between components is missed. The lists that two sets share are all
 that they have in common up to the end of one prefix, which bounds the
 intersection; counts of shingles in bins bound it again; sets are compared only
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from drayage.llm import textbuf as tb
@@ -32,8 +32,10 @@ from drayage.llm.store import cut
 
 WORDS, NUM, DEN = 5, 80, 100
 BINS = 256
-#: Hub rounds, and hubs of a block in each.
-ROUNDS, HUBS = 3, 32
+#: Sets from which a list is long, hubs of a block of a long list, and partners of a set that the round over all lists checks.
+LONG, HUBS, PARTNERS = 32, 40, 8
+#: Hub rounds over long lists at most.
+ROUNDS = 4
 #: Most rows that a broadcast side may have (16 bytes each).
 SMALL = 1_000_000
 #: Shingles counted before a task sums up, the least count it then reports, and most frequent ones that are told apart.
@@ -132,11 +134,12 @@ def _shared(c, end):
     h = c["h"]
     cuts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     many = np.diff(np.r_[cuts, len(h)])
+    c["m"] = np.repeat(many, many).astype(np.int32)
     c["g"] = np.repeat(np.minimum.reduceat(tb.mix(c["rep"].view(np.uint64)) >> np.uint64(1), cuts), many).view(np.int64)
     on = np.flatnonzero(np.repeat(many, many) > 1)
     for lo in range(0, len(on), 100_000):
         at = on[lo : lo + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(c[k][at]) for k in ("g", "h", "n", "rep")], ["g", "h", "n", "rep"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[k][at]) for k in ("g", "h", "n", "rep", "m")], ["g", "h", "n", "rep", "m"])
 
 
 def _candidates(turn: int | None):
@@ -158,17 +161,20 @@ def _candidates(turn: int | None):
             nonlocal held, size
             if not end:
                 cuts = np.flatnonzero(np.r_[True, c["h"][1:] != c["h"][:-1]])
-                for a, z in zip(cuts, np.r_[cuts[1:], len(c["h"])]):
-                    comp = c["comp"][a:z]
-                    if (comp == comp[0]).all():
+                stops = np.r_[cuts[1:], len(c["h"])]
+                n, rep, comp, lists = c["n"].astype(np.int64), c["rep"], c["comp"], c["lists"]
+                held += _short(cuts, stops, n, rep, comp, lists)
+                size = sum(map(len, held))
+                for a, z in zip(cuts[stops - cuts > LONG], stops[stops - cuts > LONG]):
+                    if (comp[a:z] == comp[a]).all():
                         continue
-                    for p in (_all if turn is None else _hubs)(c["n"][a:z].astype(np.int64), c["rep"][a:z], comp, c["lists"][a:z], turn):
+                    for p in (_all if turn is None else _hubs)(n[a:z], rep[a:z], comp[a:z], lists[a:z], turn):
                         held.append(p)
                         size += len(p)
                         if size > FLUSH // 2:
                             yield summed()
                             held, size = [], 0
-            elif held:
+            elif size:
                 yield summed()
 
         return fn
@@ -193,7 +199,7 @@ def _hubs(n, rep, comp, lists, turn):
     while a < len(n):
         z = int(reach[a])
         mixed = tb.mix(rep[a:z].view(np.uint64) + np.uint64(turn * 0x9E3779B9))
-        first = np.argsort(mixed, kind="stable")[:HUBS]
+        first = np.argsort(mixed, kind="stable")[: HUBS if turn else PARTNERS]
         place = np.full(z - a, HUBS)
         place[first] = np.arange(len(first))
         for k, hub in enumerate(first):
@@ -209,6 +215,23 @@ def _rows(n, rep, lists, other, i):
     return np.stack([np.where(swap, rep[other], rep[i]), np.where(swap, rep[i], rep[other]), np.where(swap, n[other], n[i]), np.where(swap, n[i], n[other])], 1)
 
 
+def _short(cuts, stops, n, rep, comp, lists):
+    """All pairs of all lists that are not long, by distance in the list."""
+    many = np.repeat(stops - cuts, stops - cuts)
+    left = np.repeat(stops, stops - cuts) - np.arange(len(n))  # places to the list's end
+    out = []
+    for d in range(1, LONG):
+        i = np.flatnonzero((many <= LONG) & (left > d))
+        if not len(i):
+            break
+        i = i[(comp[i] != comp[i + d]) & (n[i + d] * NUM <= n[i] * DEN)]
+        i = i[np.minimum(lists[i], lists[i + d]) >= _needed(n[i], n[i + d])]
+        if len(i):
+            swap = rep[i] > rep[i + d]
+            out.append(np.stack([np.where(swap, rep[i + d], rep[i]), np.where(swap, rep[i], rep[i + d]), np.where(swap, n[i + d], n[i]), np.where(swap, n[i], n[i + d])], 1))
+    return out
+
+
 def _all(n, rep, comp, lists, _):
     for i, z in enumerate(_reach(n)):
         other = i + 1 + np.flatnonzero(comp[i + 1 : z] != comp[i])
@@ -326,29 +349,48 @@ def join(docs: DataFrame) -> DataFrame:
     n_copies = copies.count()
     firsts = docs.where("doc_id is not null").join(small(copies.select("doc_id").distinct(), n_copies), "doc_id", "left_anti")
     rows = firsts.mapInArrow(index, "h long, n int, rep long").repartition("h").sortWithinPartitions("h", "n", "rep")
-    lists = rows.mapInArrow(_runs(["h", "n", "rep"])(_shared), "g long, h long, n int, rep long")
+    lists = rows.mapInArrow(_runs(["h", "n", "rep"])(_shared), "g long, h long, n int, rep long, m int")
     # lists that begin alike go together: the pairs that they repeat are counted where they are found
     lists = cut(lists.repartition("g").sortWithinPartitions("g", "h", "n", "rep"))
     nodes = cut(lists.groupBy("rep").agg(F.count("*").alias("lists")))
     n_nodes = nodes.count()
 
     labels = nodes.select("rep", F.col("rep").alias("comp"), "lists")
-    for turn in [*range(ROUNDS), None]:
-        marked = lists.join(small(labels, n_nodes), "rep")
+    long_lists = None
+    turns: list[int | None] = [*range(ROUNDS), None]
+    while turns:
+        turn = turns.pop(0)
+        if turn == 1:  # short lists are done but for the last round
+            long_lists = cut(lists.where(F.col("m") > LONG))
+        elif turn is None:
+            long_lists = None
+        of = lists if long_lists is None else long_lists
+        marked = of.join(small(labels, n_nodes), "rep")
         if n_nodes > SMALL:
             marked = marked.repartition("g").sortWithinPartitions("g", "h", "n", "rep")
         pairs = marked.select("h", "n", "rep", "comp", "lists").mapInArrow(_candidates(turn), "x long, y long, nx long, ny long, lists long")
         pairs = pairs.groupBy("x", "y", "nx", "ny").agg(F.sum("lists").alias("lists"))
         unseen = lambda n: F.ceil(n * NUM / DEN) - 1  # what a set has after its prefix
         short = (F.col("nx") + F.col("ny")) * NUM / (NUM + DEN) - F.greatest(unseen(F.col("nx")), unseen(F.col("ny")))  # lists that a link needs
-        # hubs are not seen in all their lists: a hub round takes what has half of that
-        pairs = cut(pairs.where(F.col("lists") >= (short if turn is None else short / 2) - 1e-6).select("x", "y"))
+        if turn is None:
+            pairs = pairs.where(F.col("lists") >= short - 1e-6).select("x", "y")
+        else:  # hubs are not seen in all their lists; each set is checked with those it shares most with
+            pairs = pairs.where(F.col("lists") >= short / 2 - 1e-6).select("x", "y", "lists")
+            best = Window.partitionBy("x").orderBy(F.desc("lists"), "y")
+            both = pairs.unionByName(pairs.select(F.col("x").alias("y"), F.col("y").alias("x"), "lists"))
+            if turn == 0:
+                both = both.withColumn("k", F.row_number().over(best)).where(F.col("k") <= PARTNERS)
+            pairs = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        pairs = cut(pairs)
         named = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
         whole = cut(docs.join(small(named, n_nodes), "doc_id", "left_semi").mapInArrow(_whole, "rep long, n long, bins binary, raw binary"))
         new = _checked(pairs, whole)
         at = labels.select(F.col("rep").alias("x"), F.col("comp").alias("cx"))
         bt = labels.select(F.col("rep").alias("y"), F.col("comp").alias("cy"))
-        edges = new.join(at, "x").join(bt, "y").select(F.col("cx").alias("x"), F.col("cy").alias("y"))
+        edges = cut(new.join(at, "x").join(bt, "y").where("cx <> cy").select(F.col("cx").alias("x"), F.col("cy").alias("y")))
+        if edges.isEmpty():  # hubs find no more: all pairs that are left
+            turns = turns[-1:]
+            continue
         up = components(edges).select(F.col("node").alias("comp"), "root")
         labels = cut(labels.join(up, "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp"), "lists"))
     out = base.join(copies, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(labels.select("rep", "comp"), "rep", "left")
