@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from drayage.plans import catalog
+from drayage.plans import catalog, checks, cleaning, learning
 
 QUERIES = {}
 ORACLES = {}
-for _part in (catalog,):
+for _part in (catalog, cleaning, checks, learning):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
