@@ -284,10 +284,11 @@ def _checked(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     """The pairs (x, y) that link."""
     one = whole.select(F.col("rep").alias("x"), F.col("n").alias("n1"), F.col("bins").alias("b1"))
     two = whole.select(F.col("rep").alias("y"), F.col("n").alias("n2"), F.col("bins").alias("b2"))
-    may = cut(pairs.join(one, "x").join(two, "y").mapInArrow(_may_link, "x long, y long"))
-    one = whole.join(may.select(F.col("x").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("x"), F.col("raw").alias("r1"))
-    two = whole.join(may.select(F.col("y").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("y"), F.col("raw").alias("r2"))
-    return may.join(two, "y").join(one, "x").mapInArrow(_do_link, "x long, y long")
+    may = cut(one.join(small(pairs, pairs.count()), "x").join(two, "y").mapInArrow(_may_link, "x long, y long"))
+    k = may.count()
+    one = whole.select(F.col("rep").alias("x"), F.col("raw").alias("r1"))
+    two = whole.join(small(may.select(F.col("y").alias("rep")).distinct(), k), "rep", "left_semi").select(F.col("rep").alias("y"), F.col("raw").alias("r2"))
+    return one.join(small(may, k), "x").join(two, "y").mapInArrow(_do_link, "x long, y long")
 
 
 def components(edges: DataFrame) -> DataFrame:
