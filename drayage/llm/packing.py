@@ -27,7 +27,7 @@ from drayage.llm import textbuf as tb
 from drayage.llm.store import cut
 
 SIZE = 4096
-CACHE = 600_000
+CACHE = 400_000
 #: Ranks are counted in this many shares of the documents, so that no length is one task's work.
 SHARES = 256
 #: Leading letters of what stands between white space, then the rest of it: the tokenizer ends a word at both.
