@@ -60,8 +60,8 @@ def signed_number(c: Column) -> Column:
 
 
 def weight(c: Column) -> Column:
-    c = F.regexp_replace(c, r"\s*\b\d{1,2}:\d{2}\b", "")
-    c = F.regexp_replace(c, r"\b(\d{1,3})\.(\d{3})\b", "$1,$2")
+    c = F.regexp_replace(c, r"\s*\d{1,2}:\d{2}\b", "")
+    c = F.regexp_replace(c, r"(?<!\d)(\d{1,3})\.(\d{3})(?!\d)", "$1,$2")
     c = F.regexp_replace(c, r"(?i)\s*(?:pounds|lbs|ibs|los|lb)\b\.?", " lbs")
     return F.when(c.rlike(r"\d"), F.regexp_extract(c, r"([\d,]+(?:\.\d+)?(?: lbs)?)", 1))
 

@@ -33,7 +33,7 @@ def fit(examples: DataFrame) -> DataFrame:
     def one(p: pd.DataFrame) -> pd.DataFrame:
         p = p.dropna(subset=["confidence", "label"]).sort_values(["confidence", "doc_id"], kind="stable")
         if len(p) < MIN_SAMPLES or p.label.sum() < MIN_POSITIVES or (1 - p.label).sum() < MIN_NEGATIVES:
-            return pd.DataFrame({"field": [], "block": [], "anchor": [], "value": []})
+            return pd.DataFrame({"field": pd.Series(dtype=str), "block": pd.Series(dtype="int32"), "anchor": pd.Series(dtype=float), "value": pd.Series(dtype=float)})
         a, v = pool(p.confidence.to_numpy(), p.label.to_numpy())
         return pd.DataFrame({"field": p.field.iloc[0], "block": range(len(a)), "anchor": a, "value": v})
 
