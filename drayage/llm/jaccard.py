@@ -39,7 +39,7 @@ ROUNDS = 4
 #: Most rows that a broadcast side may have (16 bytes each).
 SMALL = 1_000_000
 #: Shingles counted before a task sums up, the least count it then reports, and most frequent ones that are told apart.
-FLUSH, REPORT, FREQUENT = 4_000_000, 6, 1 << 20
+FLUSH, REPORT, FREQUENT = 1_000_000, 4, 1 << 20
 
 
 def sets(buf: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
