@@ -9,8 +9,8 @@ from drayage.functions.exprs import collapse
 
 # Relations, as what is given and what follows.
 PAIRS = [("consignor", "consignee"), ("consignor", "carrier"), ("consignee", "carrier"), ("carrier", "driver_name"), ("origin", "destination")]
-TRIPLES = [("consignor", "consignee", "carrier"), ("consignor", "consignee", "driver_name")]
-FULL = [("consignor", "consignee", "destination", "carrier"), ("consignor", "consignee", "carrier", "driver_name")]
+TRIPLES = [("consignor", "consignee", "carrier"), ("consignor", "carrier", "driver_name")]
+FULL = [("consignor", "consignee", "origin", "destination", "carrier"), ("consignor", "carrier", "origin", "driver_name")]
 
 
 def edges(reviewed: DataFrame, relations: list[tuple[str, ...]]) -> DataFrame:

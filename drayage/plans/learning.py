@@ -48,9 +48,12 @@ def historical_conflict(spark, d):
 
 def text_mentions(spark, d):
     """Part names that a longer name of another part holds, as text."""
-    p = table(spark, d, "part").select("p_partkey", collapse(F.col("p_name")).alias("k"))
+    k = table(spark, d, "part").select(collapse(F.col("p_name")).alias("k")).distinct()
     words = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).where("length(word) >= 5").groupBy("word").agg(F.count("*").alias("parts"))
-    return words.join(F.broadcast(p.select("k").distinct()), F.contains("k", "word")).groupBy("word", "parts").agg(F.count("*").alias("names"))
+    # a name holds a word where one of its own stretches is the word: an equi-join, however many there are
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("k"), F.lit(1))), lambda i: i <= F.length("k") - 4)
+    held = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(5), F.length("k") - i + 1), lambda n: F.substring("k", i, n))))
+    return k.select("k", F.explode(F.array_distinct(held)).alias("word")).join(words, "word").groupBy("word", "parts").agg(F.count("*").alias("names"))
 
 
 def fuzzy_top1(spark, d):

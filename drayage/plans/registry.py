@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from drayage.plans import catalog, checks, cleaning, learning
+from drayage.plans import catalog, checks, cleaning, learning, resolving
 
 QUERIES = {}
 ORACLES = {}
-for _part in (catalog, cleaning, checks, learning):
+for _part in (catalog, cleaning, checks, learning, resolving):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
