@@ -121,6 +121,7 @@ def _runs(columns: list[str]):
             if rest is not None:
                 yield from fn(rest, False)
             yield from fn(None, True)
+            tb.release()
 
         return run
 

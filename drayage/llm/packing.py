@@ -104,6 +104,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = 2, ids: bool
                 if ids:
                     cols, names = [*cols, pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in raw], pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names)
+            tb.release()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * ids
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

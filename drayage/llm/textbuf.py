@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,18 @@ def slices(batch: pa.RecordBatch, name: str, most: int = SLICE_BYTES) -> Iterato
         hi = min(max(hi, lo + 1), n)
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers stay from task to task, and an executor's share is bounded."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+#: glibc keeps what numpy frees; other C libraries have no such call.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
