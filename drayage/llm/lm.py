@@ -1,14 +1,21 @@
 """Language-model scoring from a log-frequency Bloom filter of n-gram counts.
 
-Unigrams and bigrams of the training texts are counted over the whole corpus.
-A count c of at least ``t`` has level 1 + floor(log_B(c / t)); the filter holds
-(n-gram, 1) to (n-gram, level), so probing levels until one misses gives the
-quantised count. It is built in segments, each by one task, and broadcast.
-
-Bounds. The filter has at most ``max_bits`` bits. As at most N / t n-grams occur
-t times or more, t = max(2, 4 N / bits) holds its load whatever the corpus. Exact
-counts of at most ``head`` words are broadcast for the base score; all others
-are joined. Words and n-grams are known by 64-bit hashes.
+Unigrams and bigrams of the training texts are counted over the whole corpus. A
+count c has level 1 + floor(log_B c); the filter holds (n-gram, 1) to (n-gram,
+level), so probing levels until one misses gives the quantised count. Every
+n-gram that occurs is stored, once-seen ones too.
+
+The filter is in segments by the first bits of the n-gram's hash. There is one
+for about 2^20 training tokens, and each has ``ROOM`` bits for every entry it
+holds, so the filter grows with the corpus. That of the words is broadcast. The
+bigrams' stays where it is built: what a document asks of a segment is shuffled
+to it, in lists by slice of text, and sums come back. The most frequent bigrams,
+those of at least 1 / ``HOT`` of all tokens, are broadcast with their levels, so
+that no segment is asked much more than others.
+
+Exact counts of at most ``head`` words are broadcast for the base score; all
+others are joined. Words and n-grams are known by 64-bit hashes, in a segment by
+32 bits of them.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ from pyspark.sql import functions as F
 from drayage.llm import textbuf as tb
 from drayage.llm.store import cut, fold
 
-BASE, PROBES, SEGMENTS = 1.5, 4, 64
+BASE, PROBES, ROOM, HOT = 1.5, 4, 8, 1 << 18
 #: A text's end, and what stands before its first word, as words.
 END, BEGIN = np.uint64(0x5EED0E0D5EED0E0D), np.uint64(0x5EED0B615EED0B61)
 FLUSH = 4_000_000
@@ -82,66 +89,184 @@ def _counter(order: int):
     return run
 
 
-def level(c, t: float):
-    """Quantised level of counts c >= t; 0 below."""
-    return np.where(c >= t, 1 + np.floor(np.log(np.maximum(c, t) / t) / math.log(BASE) + 1e-9), 0).astype(np.int64)
+def level(c) -> np.ndarray:
+    """Quantised level of counts; 0 for none."""
+    return np.where(c > 0, 1 + np.floor(np.log(np.maximum(c, 1)) / math.log(BASE) + 1e-9), 0).astype(np.int64)
 
 
-def value(levels: np.ndarray, t: float) -> np.ndarray:
+def value(levels: np.ndarray) -> np.ndarray:
     """The count that a level stands for: the middle of its range; 0 for level 0."""
-    return np.where(levels > 0, t * BASE ** (levels - 1.0) * (1 + BASE) / 2 - (BASE - 1) / 2, 0.0)
+    return np.where(levels > 0, BASE ** (levels - 1.0) * (1 + BASE) / 2 - (BASE - 1) / 2, 0.0)
 
 
-def _place(h: np.ndarray, lv: int, i: int, seg_bits: int) -> np.ndarray:
-    """The i-th bit of (n-gram, level) in its segment."""
-    g = tb.mix(h + np.uint64(lv * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+def chance(pair: np.ndarray, word: np.ndarray, before: np.ndarray, mass: float) -> np.ndarray:
+    """log10 of the mixture, from the levels of a bigram, its word and the word before."""
+    cv = np.maximum(value(before), 1.0)
+    weight = BIGRAM * cv / (cv + HALF)
+    return np.log10(weight * np.minimum(value(pair) / cv, 1.0) + (1 - weight) * (value(word) + 0.5) / mass)
+
+
+def _place(r: np.ndarray, lv: int, i: int, size) -> np.ndarray:
+    """The i-th bit of (n-gram, level) in a segment of ``size`` bits."""
+    g = tb.mix((r & np.uint64(0xFFFFFFFF)) + np.uint64(lv * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     a, b = g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
-    return ((a + np.uint64(i) * b) & np.uint64(seg_bits - 1)).astype(np.int64)
+    return ((a + np.uint64(i) * b) % size).astype(np.int64)
 
 
 class Filter:
     """Level by n-gram; a false positive raises a level, no count is ever lowered."""
 
-    def __init__(self, segments: dict[int, bytes], seg_bits: int, t1: float, t2: float):
-        self.bits = np.zeros(SEGMENTS * seg_bits // 8, np.uint8)
+    def __init__(self, segments: dict[int, bytes], shift: int):
+        self.shift, n = shift, 1 << 64 - shift
+        # a segment that holds nothing is a byte of zeros
+        self.at, self.size = np.zeros(n, np.int64), np.full(n, 8, np.uint64)
+        parts, at = [b"\0"], 1
         for k, raw in segments.items():
-            self.bits[k * seg_bits // 8 : (k + 1) * seg_bits // 8] = np.frombuffer(raw, np.uint8)
-        self.seg_bits, self.t1, self.t2 = seg_bits, t1, t2
+            self.at[k], self.size[k] = 8 * at, 8 * len(raw)
+            parts.append(raw)
+            at += len(raw)
+        self.bits = np.frombuffer(b"".join(parts), np.uint8)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        out, on = np.zeros(len(h), np.int64), np.arange(len(h))
-        at = (h >> np.uint64(58)).astype(np.int64) * self.seg_bits
-        lv = 0
-        while len(on):
-            lv += 1
-            for i in range(PROBES):
-                p = _place(h[on], lv, i, self.seg_bits) + at[on]
-                on = on[(self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0]
-            out[on] = lv
-        return out
+        g = (h >> np.uint64(self.shift)).astype(np.int64)
+        return probe(self.bits, h, self.at[g], self.size[g])
+
+
+def probe(bits: np.ndarray, h: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Levels of ``h``, each in the segment of ``size`` bits that begins at bit ``at``."""
+    out, on = np.zeros(len(h), np.int64), np.arange(len(h))
+    lv = 0
+    while len(on):
+        lv += 1
+        for i in range(PROBES):
+            p = _place(h[on], lv, i, size[on]) + at[on]
+            on = on[(bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0]
+        out[on] = lv
+    return out
+
+
+def _segments(shift: int, hot: int):
+    """Whole segments from rows (h, n), and levels of the n-grams seen ``hot`` times or more."""
+
+    def run(batches):
+        held = [(b.column("h").to_numpy(zero_copy_only=False).view(np.uint64), b.column("n").to_numpy(zero_copy_only=False)) for b in batches]
+        if not held:
+            return
+        h, c = (np.concatenate(x) for x in zip(*held))
+        del held
+        g = (h >> np.uint64(shift)).astype(np.int64)
+        o = np.argsort(g, kind="stable")
+        h, c, g = h[o], c[o], g[o]
+        new = np.flatnonzero(np.r_[True, g[1:] != g[:-1]][: len(g)])
+        for lo, hi in zip(new, np.r_[new[1:], len(g)]):
+            own, lv = h[lo:hi], level(c[lo:hi])
+            v = np.zeros(8 * -(-ROOM * int(lv.sum()) // 8), bool)
+            size = np.uint64(len(v))
+            for k in range(1, int(lv.max()) + 1):
+                for i in range(PROBES):
+                    v[_place(own[lv >= k], k, i, size)] = True
+            bits = np.packbits(v, bitorder="little")
+            top = own[c[lo:hi] >= hot]
+            # as the filter has them, so that no score depends on what is broadcast
+            got = probe(bits, top, np.zeros(len(top), np.int64), np.full(len(top), size))
+            yield pa.RecordBatch.from_arrays([pa.array([g[lo]], pa.int32()), pa.array([bits.tobytes()], pa.binary()), pa.array([top.view(np.int64)], pa.list_(pa.int64())), pa.array([got], pa.list_(pa.int64()))], ["g", "bits", "top", "levels"])
+
+    return run
+
+
+_SEGMENT = "g int, bits binary, top array<long>, levels array<long>"
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    return pa.compress(b"".join(a.tobytes() for a in arrays), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, n: int, *types) -> list[np.ndarray]:
+    """Arrays of ``n`` of each type."""
+    raw = pa.decompress(raw, n * sum(np.dtype(t).itemsize for t in types), codec="zstd")
+    out, at = [], 0
+    for t in types:
+        out.append(np.frombuffer(raw, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return out
+
 
+_ASKED = (np.uint32, np.uint32, np.uint8, np.uint8)
 
-def _segments(seg_bits: int, t: float):
-    """Bits of whole segments from rows (seg, h, n)."""
+
+def _asked(shared, shift: int, mass: float):
+    """Rows (slice, g, n, q): what each slice of text asks of each segment; n < 0: the slice itself, -n documents."""
 
     def run(batches):
-        bits: dict[int, np.ndarray] = {}
+        words, top, top_levels = shared.value
+        row = TaskContext.get().partitionId() << 40
+        segments = 1 << 64 - shift
         for b in batches:
-            h = b.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
-            lv = level(b.column("n").to_numpy(zero_copy_only=False).astype(float), t)
-            for k in range(1, int(lv.max(initial=0)) + 1):
-                own = h[lv >= k]
-                seg = (own >> np.uint64(58)).astype(np.int64)
-                for s in np.unique(seg):
-                    v = bits.setdefault(int(s), np.zeros(seg_bits, bool))
-                    for i in range(PROBES):
-                        v[_place(own[seg == s], k, i, seg_bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes() for v in bits.values()], pa.binary())], ["seg", "bits"])
+            own = b.column("ck").to_numpy()
+            for lo, hi, buf, starts in tb.slices(b, "text"):
+                h, doc = tokens(buf, starts)
+                n = hi - lo
+                u, at = np.unique(h, return_inverse=True)
+                lu = words.levels(u)
+                word, (pair, first) = lu[at], bigrams(h, doc)
+                before = np.r_[0, word[:-1]]
+                before[first == BEGIN] = lu[np.searchsorted(u, END)]
+                k = np.minimum(np.searchsorted(top, pair), len(top) - 1)
+                hot = top[k] == pair if len(top) else np.zeros(len(pair), bool)
+                score = np.bincount(doc[hot], chance(top_levels[k[hot]], word[hot], before[hot], mass), n)
+                cold = np.flatnonzero(~hot)
+                g = (pair[cold] >> np.uint64(shift)).astype(np.int64)
+                o = np.argsort(g, kind="stable")
+                cold, g = cold[o], g[o]
+                new = np.flatnonzero(np.r_[True, g[1:] != g[:-1]][: len(g)])
+                arrays = [(pair[cold] & np.uint64(0xFFFFFFFF)).astype(np.uint32), doc[cold].astype(np.uint32), word[cold].astype(np.uint8), before[cold].astype(np.uint8)]
+                stop = np.r_[new[1:], len(g)].astype(np.int64)
+                q = [_packed(own[lo:hi], score), *[_packed(*[a[x:y] for a in arrays]) for x, y in zip(new, stop)]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(q), row)), pa.array(np.r_[(row + (row >> 40)) % segments, g[new]].astype(np.int32)), pa.array(np.r_[-n, stop - new]), pa.array(q, pa.binary())], ["slice", "g", "n", "q"]
+                )
+                row += n
 
     return run
 
 
-def score_documents(docs: DataFrame, held: F.Column, max_bits: int = 1 << 28, head: int = 1 << 20) -> DataFrame:
+_ANSWER = pa.schema([("slice", pa.int64()), ("n", pa.int64()), ("q", pa.binary())])
+
+
+def _answered(mass: float):
+    """A segment's sums by document for what slices ask of it; slices themselves go on as they are."""
+
+    def run(segment: pa.Table, asked: pa.Table) -> pa.Table:
+        raw = segment.column("bits")[0].as_py() if segment.num_rows else b"\0"
+        bits, size = np.frombuffer(raw, np.uint8), np.uint64(8 * len(raw))
+        out: list[tuple] = []
+        for s, n, q in zip(asked.column("slice").to_pylist(), asked.column("n").to_pylist(), asked.column("q")):
+            q = q.as_py()
+            if n >= 0:
+                r, d, word, before = _unpacked(q, n, *_ASKED)
+                lv = probe(bits, r.astype(np.uint64), np.zeros(n, np.int64), np.full(n, size))
+                new = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+                n, q = len(new), _packed(np.add.reduceat(chance(lv, word.astype(np.int64), before.astype(np.int64), mass), new), d[new])
+            out.append((s, n, q))
+        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 3, _ANSWER.types)], schema=_ANSWER)
+
+    return run
+
+
+def _summed(answers: pa.Table) -> pa.Table:
+    """(ck, score) of a slice's documents."""
+    n, q = answers.column("n").to_pylist(), answers.column("q")
+    k = next(i for i, m in enumerate(n) if m < 0)
+    own, score = _unpacked(q[k].as_py(), -n[k], np.int64, np.float64)
+    score = score.copy()
+    for i, m in enumerate(n):
+        if i != k:
+            s, d = _unpacked(q[i].as_py(), m, np.float64, np.uint32)
+            score[d] += s
+    return pa.table({"ck": own, "score": score})
+
+
+def score_documents(docs: DataFrame, held: F.Column, head: int = 1 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row.
 
     The model learns from the rows that are not ``held``. A null or empty text is
@@ -162,30 +287,34 @@ def score_documents(docs: DataFrame, held: F.Column, max_bits: int = 1 << 28, he
     frequent = uni.where(F.col("n") >= float(1 << least)).orderBy("h").toArrow() if kept else pa.table({"h": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
     head_h, head_n = frequent.column("h").to_numpy(), frequent.column("n").to_numpy()
 
-    bits = min(max_bits, 1 << max(20, math.ceil(math.log2(2 * total + 1))))
-    seg_bits, t2 = bits // SEGMENTS, float(max(2, math.ceil(4 * total / bits)))
-    t1 = float(max(1, math.ceil(2 * total / bits)))
-    parts = max(8, min(SEGMENTS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    seg = F.shiftrightunsigned("h", 58).cast("int").alias("seg")
-    pairs = train.mapInArrow(_counter(2), "h long, n long").select(seg, "h", "n").repartition(parts, "seg").groupBy("seg", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= t2)
-    raw: dict[int, bytes] = {}
-    for df, t in ((pairs, t2), (uni.where(F.col("n") >= t1).select(seg, "h", "n").repartition(parts, "seg"), t1)):
-        for r in df.mapInArrow(_segments(seg_bits, t), "seg int, bits binary").toLocalIterator():
-            old = raw.get(r["seg"])
-            new = bytes(r["bits"])
-            raw[r["seg"]] = new if old is None else (np.frombuffer(old, np.uint8) | np.frombuffer(new, np.uint8)).tobytes()
+    # segments of about 2^20 tokens
+    shift = 64 - max(3, math.ceil(math.log2(total + 1)) - 20)
+    parts = 1 << 64 - shift
+    seg = F.shiftrightunsigned("h", shift).cast("int").alias("g")
+    built = uni.select(seg, "h", "n").repartition(parts, "g").mapInArrow(_segments(shift, 1 << 62), _SEGMENT)
+    words = Filter({r["g"]: bytes(r["bits"]) for r in built.select("g", "bits").collect()}, shift)
+    pairs = train.mapInArrow(_counter(2), "h long, n long").select(seg, "h", "n").repartition(parts, "g").groupBy("g", "h").agg(F.sum("n").alias("n"))
+    built = cut(pairs.mapInArrow(_segments(shift, max(2, total // HOT)), _SEGMENT))
+    top = built.select(F.explode(F.arrays_zip("top", "levels")).alias("t")).select("t.top", "t.levels").toArrow()
+    top_h, top_levels = top.column("top").to_numpy().view(np.uint64), top.column("levels").to_numpy()
+    o = np.argsort(top_h)
     # what the quantised unigrams sum to, so that they are shares of one
-    lv = F.floor(F.log(F.col("n") / t1) / math.log(BASE) + 1e-9)
-    mean = t1 * F.pow(F.lit(BASE), lv) * (1 + BASE) / 2 - (BASE - 1) / 2
-    mass = (uni.where(F.col("n") >= t1).agg(F.sum(mean)).first()[0] or 0.0) + 0.5 * (distinct + 1)
-    shared = spark.sparkContext.broadcast((Filter(raw, seg_bits, t1, t2), head_h, head_n))
+    mean = F.pow(F.lit(BASE), F.floor(F.log(F.col("n")) / math.log(BASE) + 1e-9)) * (1 + BASE) / 2 - (BASE - 1) / 2
+    mass = (uni.agg(F.sum(mean)).first()[0] or 0.0) + 0.5 * (distinct + 1)
+    shared = spark.sparkContext.broadcast((words, top_h[o], top_levels[o]))
+    exact = spark.sparkContext.broadcast((head_h, head_n))
+    # rows of one id and text are scored alike
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("ck"))
+    asked = keyed.select("ck", "text").mapInArrow(_asked(shared, shift, mass), "slice long, g int, n long, q binary")
+    answers = built.select("g", "bits").groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(_answered(mass), "slice long, n long, q binary")
+    model = answers.groupBy("slice").applyInArrow(_summed, "ck long, score double").groupBy("ck").agg(F.max("score").alias("score"))
     floor = total + 0.5 * (distinct + 1)
 
     def run(batches):
-        model, hh, hn = shared.value
+        hh, hn = exact.value
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            ids, out_ = b.column("doc_id"), b.column("held")
+            ids, out_, own = b.column("doc_id"), b.column("held"), b.column("ck")
             for lo, hi, buf, starts in tb.slices(b, "text"):
                 h, doc = tokens(buf, starts)
                 n = hi - lo
@@ -198,21 +327,10 @@ def score_documents(docs: DataFrame, held: F.Column, max_bits: int = 1 << 28, he
                 known = c[at] > 0
                 base = np.bincount(doc, np.where(known, np.log10((c[at] + 0.5) / floor), 0.0), n)
                 got = np.bincount(doc, known, n).astype(np.int64)
-                # the model
-                cu = value(model.levels(u.view(np.uint64)), model.t1)
-                pair, before = bigrams(h, doc)
-                cb = value(model.levels(pair), model.t2)
-                cv = np.empty(len(h))
-                cv[1:] = cu[at[:-1]]
-                cv[before == BEGIN] = cu[np.searchsorted(u, END.view(np.int64))]
-                cv = np.maximum(cv, 1.0)
-                weight = BIGRAM * cv / (cv + HALF)
-                p = weight * np.minimum(cb / cv, 1.0) + (1 - weight) * (cu[at] + 0.5) / mass
-                score = np.bincount(doc, np.log10(p), n)
                 keys = row + np.arange(n)
                 row += n
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), ids.slice(lo, n), out_.slice(lo, n), pa.array(np.bincount(doc, minlength=n)), pa.array(got), pa.array(base), pa.array(score), pa.array(keys | -(1 << 62)), pa.nulls(n, pa.int64())], _ROW.names
+                    [pa.array(keys), ids.slice(lo, n), out_.slice(lo, n), pa.array(np.bincount(doc, minlength=n)), pa.array(got), pa.array(base), own.slice(lo, n), pa.array(keys | -(1 << 62)), pa.nulls(n, pa.int64())], _ROW.names
                 )
                 # words that are not of the frequent: (row, word, times)
                 rare = np.flatnonzero(~known)
@@ -223,20 +341,20 @@ def score_documents(docs: DataFrame, held: F.Column, max_bits: int = 1 << 28, he
                     new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (w[1:] != w[:-1])])
                     m = len(new)
                     none = pa.nulls(m, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[d[new]]), none, pa.nulls(m, pa.bool_()), none, none, pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(w[new]), pa.array(np.diff(np.r_[new, len(d)]))], _ROW.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[d[new]]), none, pa.nulls(m, pa.bool_()), none, none, pa.nulls(m, pa.float64()), none, pa.array(w[new]), pa.array(np.diff(np.r_[new, len(d)]))], _ROW.names)
 
-    rows = docs.select(F.col("doc_id").cast("long"), held.alias("held"), "text").mapInArrow(run, "k long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, h long, times long")
+    rows = keyed.mapInArrow(run, "k long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, ck long, h long, times long")
     rest = uni.where(F.col("n") < float(1 << least)) if least < 64 else uni
     c = F.coalesce("n", F.lit(0))
     term = F.when(F.col("times").isNotNull(), F.col("times") * F.log10((c + 0.5) / floor)).otherwise(F.col("base"))
     hits = F.when(F.col("times").isNotNull(), F.when(c > 0, F.col("times")).otherwise(0)).otherwise(F.col("n_known"))
     joined = rows.join(rest, "h", "left").groupBy("k").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum(hits).alias("n_known"), F.sum(term).alias("base_score"), F.max("score").alias("score")
-    )
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum(hits).alias("n_known"), F.sum(term).alias("base_score"), F.max("ck").alias("ck")
+    ).join(model, "ck", "left")
     return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-_ROW = pa.schema([("k", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("h", pa.int64()), ("times", pa.int64())])
+_ROW = pa.schema([("k", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("ck", pa.int64()), ("h", pa.int64()), ("times", pa.int64())])
 
 
 def scores(documents: DataFrame) -> DataFrame:

@@ -189,3 +189,37 @@ def test_lm(docs, rows, empty):
         assert math.isclose(r["base_score"], sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel_tol=1e-9)
         assert r["score"] < 0
     assert lm.scores(empty).count() == 0
+
+
+def test_lm_holds_single_bigrams(spark):
+    import math
+
+    r = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(400)]
+    docs = [(i, " ".join(r.choice(vocabulary) for _ in range(8)), "aa", "s", 0) for i in range(300)]
+    docs += [docs[0], (None, docs[3][1], "aa", "s", 0)]
+    held = {i for i, *_ in docs if zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1}
+    tokens = [(i, [*t.split(), None]) for i, t, *_ in docs]
+    c, p = Counter(), Counter()
+    for i, ws in tokens:
+        if i not in held:
+            c.update(ws)
+            p.update(zip(["^", *ws], ws))
+    middle = lambda n: 1.25 * 1.5 ** math.floor(math.log(n, 1.5) + 1e-9) - 0.25 if n else 0
+    mass = sum(map(middle, c.values())) + 0.5 * (len(c) + 1)
+
+    def want(ws):
+        out = 0
+        for a, b in zip([None, *ws], ws):
+            cv = max(middle(c[a]), 1)
+            weight = lm.BIGRAM * cv / (cv + lm.HALF)
+            out += math.log10(weight * min(middle(p[a if out else "^", b]) / cv, 1) + (1 - weight) * (middle(c[b]) + 0.5) / mass)
+        return out
+
+    expected = defaultdict(list)
+    for i, ws in tokens:
+        expected[i].append(want(ws))
+    got = lm.scores(spark.createDataFrame(docs, SCHEMA).repartition(3)).collect()
+    assert len(got) == len(docs)
+    # a false positive of the filter can change a document's score
+    assert sum(math.isclose(g["score"], expected[g["doc_id"]][0], rel_tol=1e-9) for g in got) >= 0.6 * len(got)
