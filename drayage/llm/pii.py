@@ -2,11 +2,13 @@
 
 Base spans (e-mail, IP address, card and phone numbers) come from patterns. The
 sanitisation is information-theoretic: protected entities are the values found;
-a term beside an entity, in its line, reveals it as far as the corpus says so. With p the share of the documents with the term in which it stands beside
-the entity, the pointwise mutual information of the two is IC(entity) + log2 p;
-a term is disclosing where that is at least ``alpha`` of IC(entity), the
-entity's own information. Terms need the support of ``support`` different lines,
-so that copies of one line don't make its words disclosing.
+a term in a document that holds an entity, wherever it stands there, reveals it
+as far as the corpus says so. With p the share of the documents with the term
+that hold the entity too, the pointwise mutual information of the two is
+IC(entity) + log2 p; a term is disclosing where that is at least ``alpha`` of
+IC(entity), the entity's own information. Terms need the support of ``support``
+different texts, counted exactly, so that copies of one text don't make its
+words disclosing.
 
 Patterns are written so that no text makes them backtrack: possessive runs, and
 look-behinds that let a match begin only where the leftmost would.
@@ -30,11 +32,9 @@ PATTERNS = {
 #: What a term that is not an entity is put in place of, and entities by kind.
 GENERAL = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
 KINDS = [*PATTERNS, "term"]
-#: A line's terms: runs of letters or digits of three or more.
+#: Terms: runs of letters or digits of three or more.
 TERM = r"[\p{L}\p{N}]{3,}"
 SUPPORT, ALPHA = 3, 0.95
-#: An entity stands beside what is in its line, up to so many characters away.
-BESIDE = 200
 
 
 def _digits(c: Column) -> Column:
@@ -102,16 +102,20 @@ def _terms(c: Column) -> Column:
 def disclosing(found: DataFrame, docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
     """(entity, term) of the terms that disclose an entity; ``found`` (row, doc_id, text, base), ``docs`` (text)."""
     n = docs.count()
-    # what stands beside each entity, between the line breaks before and after it
-    one = found.where(F.size("base") > 0).select("row", "text", F.explode("base").alias("s"))
-    near = F.greatest(F.col("s.start") - BESIDE, F.lit(0))
-    before = F.substring_index(F.substring(F.col("text"), near + 1, F.col("s.start") - near), "\n", -1)
-    after = F.substring_index(F.substring(F.col("text"), F.col("s.end") + 1, F.lit(BESIDE)), "\n", 1)
-    lines = one.select("row", F.lower("s.value").alias("entity"), F.concat_ws(" ", before, after).alias("line"))
+    found = found.where(F.size("base") > 0).withColumn("t", F.xxhash64("text"))
+    # documents of each entity, by text: copies are put together before terms are made
+    one = found.select("row", "t", F.explode(F.transform("base", lambda s: F.lower(s["value"]))).alias("entity")).distinct()
+    holds = one.groupBy("entity", "t").agg(F.count("*").alias("docs"))
     # only entities that occur often enough to support anything
-    often = lines.groupBy("entity").agg(F.approx_count_distinct("line").alias("lines"), F.count_distinct("row").alias("docs")).where((F.col("lines") >= support) & (F.col("docs") >= support))
-    beside = lines.join(often.select("entity", F.col("docs").alias("df")), "entity").select("row", "entity", "df", F.xxhash64("line").alias("line"), F.explode(_terms(F.col("line"))).alias("term"))
-    beside = beside.groupBy("entity", "term").agg(F.first("df").alias("df"), F.count_distinct("row").alias("both"), F.count_distinct("line").alias("lines")).where(F.col("lines") >= support)
+    often = holds.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("docs").alias("df")).where(F.col("texts") >= support).select("entity", "df")
+    of_text = holds.join(often, "entity").groupBy("t").agg(F.collect_list(F.struct("entity", "df", "docs")).alias("held"))
+    # the terms of a text are those of what lies between its entities
+    text, base = F.col("text"), F.col("base")
+    done = _scan(F.transform(base, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    between = F.zip_with(base, done, lambda s, at: F.when(s["start"] > at, F.substring(text, at + 1, s["start"] - at)).otherwise(""))
+    rest = F.concat_ws("\n", between, F.substring(text, F.array_max(F.transform(base, lambda s: s["end"])) + 1, F.length(text)))
+    pairs = found.select("t", "text", "base").dropDuplicates(["t"]).join(of_text, "t").select("held", F.explode(_terms(rest)).alias("term")).select("term", F.explode("held").alias("e"))
+    beside = pairs.groupBy(F.col("e.entity").alias("entity"), "term").agg(F.first("e.df").alias("df"), F.sum("e.docs").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= support)
     beside = cut(beside)
     if beside.isEmpty():
         return beside.select("entity", "term")
@@ -123,7 +127,7 @@ def disclosing(found: DataFrame, docs: DataFrame, support: int = SUPPORT, alpha:
 
 
 def find(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
-    """``docs`` with ``__base`` and ``__spans``: base spans, and those with the disclosing terms of their lines.
+    """``docs`` with ``__base`` and ``__spans``: base spans, and those with the terms that disclose them.
 
     A null text is empty. A disclosing term is a span of kind ``term`` wherever
     it stands, as a whole word, in a document that holds the entity. Spans of a

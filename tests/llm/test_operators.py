@@ -223,3 +223,14 @@ def test_lm_holds_single_bigrams(spark):
     assert len(got) == len(docs)
     # a false positive of the filter can change a document's score
     assert sum(math.isclose(g["score"], expected[g["doc_id"]][0], rel_tol=1e-9) for g in got) >= 0.6 * len(got)
+
+
+def test_pii_terms_of_other_lines(spark):
+    mail, phone = "jo@corp.example", "+44 20 7946 0958"
+    docs = [(i, f"Name: zebrafalcon v{i}v\nPhone: {phone}\n" + "plain words " * 30 + f"quietotter {i} end {mail}", "aa", "s", 0) for i in range(3)]
+    docs += [(20 + i, f"Name: Phone: end plain words v{i}v", "aa", "s", 0) for i in range(60)]
+    docs += [(100 + i, f"one text copied loudheron sam{i // 5}@corp.example", "aa", "s", 0) for i in range(5)]
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(docs, SCHEMA)).collect()}
+    for i in range(3):
+        assert "zebrafalcon" not in got[i] and "quietotter" not in got[i] and "Name: " in got[i] and "plain words" in got[i]
+    assert all("loudheron" in got[100 + i] for i in range(5)) and all(got[i] == t for i, t, *_ in docs[3:63])
