@@ -2,8 +2,8 @@
 
 Documents are tokenised and cut: whole sequences first, then one piece that is
 shorter. Only the histogram of piece lengths, at most ``size`` numbers, comes to
-the driver. Lengths are placed longest first, each into the pack with the least
-room that still fits it or, where none fits, into packs of their own; packs
+the driver. Lengths are placed longest first, each into the shortest pack, which
+has the most room, or, where that doesn't take it, into packs of their own; packs
 of one pattern are counted, never listed. Patterns then go back to the
 documents by rank: the k-th piece of a length takes the k-th place of that
 length.
@@ -12,6 +12,7 @@ length.
 from __future__ import annotations
 
 import bisect
+import math
 import re
 import unicodedata
 import zlib
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from drayage.llm import textbuf as tb
-from drayage.llm.store import cut
+from drayage.llm.store import cut, spare
 
 SIZE = 4096
 CACHE = 400_000
-#: Ranks are counted in this many shares of the documents, so that no length is one task's work.
-SHARES = 256
+#: Pieces in a share, on average, within which ranks are counted.
+SHARE = 1 << 16
 #: Leading letters of what stands between white space, then the rest of it: the tokenizer ends a word at both.
 _QUICK = re.compile(r"[^\W\d_]+|\S+")
 #: Not lower-cased or split alike by Python and the tokenizer.
@@ -46,22 +47,24 @@ class Words:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
         self.last = np.zeros(self.t.get_vocab_size(), bool)  # tokens that end a word
         for token, i in self.t.get_vocab().items():
             self.last[i] = token.endswith("</w>")
         self.quick = quick
+        # special tokens that stand in a text are found before words are: such texts go to the tokenizer whole
+        self.special = [t.content.lower() for t in self.t.get_added_tokens_decoder().values()]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without special tokens."""
         cache, parts = self.cache, []
         new: set[str] = set()
         for t in texts:
-            if not self.quick or tb.has_any(t, _ODD) or not unicodedata.is_normalized("NFC", t):
+            low = t.lower()
+            if not self.quick or any(x in low for x in self.special) or tb.has_any(t, _ODD) or not unicodedata.is_normalized("NFC", t):
                 parts.append(None)
                 continue
-            p = _QUICK.findall(t.lower())
+            p = _QUICK.findall(low)
             parts.append(p)
             new.update(p)
         new = [w for w in new if w not in cache]
@@ -113,8 +116,9 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = 2, ids: bool
 def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, list[int]]]:
     """Packs for a histogram of lengths: (how many, the lengths in one), longest lengths first.
 
-    A pack is chosen by the least room that still takes the length, so the
-    fullest fitting pack is topped up first.
+    A length goes to the pack with the most room, as long as that room takes it:
+    the shortest pack first. Packs that are alike are one entry with a count; as
+    many copies go in at once as leave the pack the shortest, or level with the next.
     """
     room: dict[int, list[list]] = {}  # room left -> [count, lengths]
     open_rooms: list[int] = []  # ascending
@@ -128,26 +132,28 @@ def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, lis
     for length in sorted(histogram, reverse=True):
         count = histogram[length]
         while count > 0:
-            k = bisect.bisect_left(open_rooms, length)
-            if k == len(open_rooms):
+            if not open_rooms or open_rooms[-1] < length:
                 per = min(size // length, count)  # none takes it: packs of its own
                 whole, rest = divmod(count, per)
                 add(size - per * length, whole, (length,) * per)
                 if rest:
                     add(size - rest * length, 1, (length,) * rest)
                 break
-            left = open_rooms[k]
+            left = open_rooms[-1]
+            under = max(open_rooms[-2] if len(open_rooms) > 1 else 0, 0)
             packs = room[left][-1]
-            fits = min(left // length, count)
-            used = min(packs[0], count // fits)
+            # all of these packs take one each, or, where the next room is far below, as many as keep them above it
+            each = max(1, min((left - under) // length, left // length)) if len(room[left]) == 1 else 1
+            each = min(each, max(1, count // packs[0]))
+            used = min(packs[0], count // each)
             packs[0] -= used
             if not packs[0]:
                 room[left].pop()
                 if not room[left]:
                     del room[left]
-                    open_rooms.pop(k)
-            add(left - fits * length, used, packs[1] + (length,) * fits)
-            count -= used * fits
+                    open_rooms.pop()
+            add(left - each * length, used, packs[1] + (length,) * each)
+            count -= used * each
     return [(c, list(ls)) for packs in room.values() for c, ls in packs if c]
 
 
@@ -169,23 +175,27 @@ def places(packs: list[tuple[int, list[int]]]) -> dict[int, np.ndarray]:
 def pack(cut_pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """``cut_pieces`` (doc_id, start, length, ...) with sequence_id and offset.
 
-    Ranks follow (doc_id, start) within hashed shares of the documents, so the
+    Ranks follow (doc_id, start) within hashed shares of the pieces, about
+    ``SHARE`` to each, so no length and no document is one task's work and the
     same table always packs alike; pieces that repeat those are told apart
-    arbitrarily. Input that isn't kept already is kept before it is ranked.
+    arbitrarily. Columns named sequence_id or offset are replaced, all others
+    stay. Input that isn't kept already is kept before it is ranked.
     """
     spark = cut_pieces.sparkSession
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int")
-    p = cut_pieces.withColumn("__share", share)
-    by = p.groupBy("length", "__share").count()
-    counts = by.groupBy("length").agg(F.sum("count").alias("n")).collect()  # at most `size` rows
-    if not counts:
-        return cut_pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    p = cut_pieces.drop("sequence_id", "offset")
+    names = p.columns
+    share, rank, before, at = spare(names, "share", "rank", "before", "at")
+    shares = 1 << max(8, math.ceil(math.log2(1 + p.count() / SHARE)))
+    p = p.withColumn(share, F.pmod(F.xxhash64("doc_id", "start"), F.lit(shares)).cast("int"))
+    by = p.groupBy("length", share).agg(F.count("*").alias(before))
+    counts = by.groupBy("length").agg(F.sum(before).alias("n")).collect()  # at most `size` rows
     where = places(patterns({int(r["length"]): int(r["n"]) for r in counts}, size))
-    shared = spark.sparkContext.broadcast(where)
-    # ranks before each share: at most `size` x SHARES rows
-    before = by.withColumn("__before", F.sum("count").over(Window.partitionBy("length").orderBy("__share").rowsBetween(Window.unboundedPreceding, -1))).select("length", "__share", F.coalesce("__before", F.lit(0)).alias("__before"))
-    ranked = p.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__share").orderBy("doc_id", "start")))
-    ranked = ranked.join(before, ["length", "__share"]).withColumn("__rank", F.col("__rank") - 1 + F.col("__before"))
+    shared = spark.sparkContext.broadcast(where)  # by `size` lengths, runs of packs of one pattern
+    # ranks before each share: at most `size` x shares rows
+    own = Window.partitionBy("length").orderBy(share).rowsBetween(Window.unboundedPreceding, -1)
+    by = by.select("length", share, F.coalesce(F.sum(before).over(own), F.lit(0)).alias(before))
+    ranked = p.withColumn(rank, F.row_number().over(Window.partitionBy("length", share).orderBy("doc_id", "start")))
+    ranked = ranked.join(by, ["length", share]).withColumn(rank, F.col(rank) - 1 + F.col(before))
 
     @F.pandas_udf("struct<sequence_id: long, offset: long>")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -198,8 +208,7 @@ def pack(cut_pieces: DataFrame, size: int = SIZE) -> DataFrame:
             off[own] = rows[at, 3]
         return pd.DataFrame({"sequence_id": seq, "offset": off})
 
-    placed = ranked.withColumn("__at", place("length", "__rank"))
-    return placed.select(*cut_pieces.columns, "__at.sequence_id", "__at.offset")
+    return ranked.withColumn(at, place("length", rank)).select(*names, f"{at}.sequence_id", f"{at}.offset")
 
 
 def _path() -> str:
