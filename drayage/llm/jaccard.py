@@ -6,14 +6,21 @@ each. Those are the index: lists by shingle, sorted by set size. Along a list,
 the sizes allow only a block of positions to link with a set, so all other
 blocks are skipped.
 
-Answers are derived rather than found anew. A set takes over the answers of a
-set that it links with, as only what hangs together is asked: in a hub round
-the sets of a block are checked with a few hubs that many lists have in common,
-and what turns out alike is merged. Short lists are paired whole. The last round pairs all sets that are still apart,
-so no link between components is missed. The lists that two sets share are all
-that they have in common up to the end of one prefix, which bounds the
-intersection; counts of shingles in bins bound it again; sets are compared only
-where both bounds allow a link.
+Answers are derived rather than found anew. Each list is led by its set of least
+hash, and a set takes the leader that most of its lists have as its pivot. A set
+that is like its pivot is kept as what differs from it: what it has more, and
+what it lacks. Of two sets of one pivot P, which differ from it in X and Y, where
+x and y are the shingles of P that they lack,
+
+    |intersection| = |P| - |x| - |y| + |X and Y in common|
+
+so all links among a pivot's sets follow from the few shingles in which they
+differ, block by block, and only a forest of links leaves a task. The last round
+pairs all sets that share lists and have neither component nor pivot in common,
+so no link is missed. The lists that two sets share are all that they have in
+common up to the end of one prefix, which bounds the intersection; counts of
+shingles in bins bound it again; sets are compared only where both bounds allow
+a link.
 
 Every step is a join, an aggregate or a sorted stream. Components are found
 on executors, by contraction of edges. A side is broadcast only if counted and
@@ -24,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drayage.llm import textbuf as tb
@@ -32,10 +39,14 @@ from drayage.llm.store import cut
 
 WORDS, NUM, DEN = 5, 80, 100
 BINS = 256
-#: Sets from which a list is long, hubs of a block of a long list, and partners of a set that the round over all lists checks.
-LONG, HUBS, PARTNERS = 32, 40, 8
-#: Hub rounds over long lists at most.
-ROUNDS = 4
+#: Sets from which a list is long.
+LONG = 32
+#: Rounds of pivots, sets of a pivot in a block, and delta shingles that are multiplied at once.
+ROUNDS, BLOCK, COLUMNS = 2, 512, 4096
+#: Share of a set's index lists that its pivot must have, to be looked at.
+LIKE = 0.3
+#: List entries of one leader that stay together.
+TOGETHER = 4096
 #: Most rows that a broadcast side may have (16 bytes each).
 SMALL = 1_000_000
 #: Shingles counted before a task sums up, the least count it then reports, and most frequent ones that are told apart.
@@ -129,58 +140,105 @@ def _runs(columns: list[str]):
 
 
 def _shared(c, end):
-    """The rows of lists that hold two sets or more, with the list's set that comes first by hash."""
+    """The rows of lists that hold two sets or more, with the list's leader."""
     if end:
         return
-    h = c["h"]
-    cuts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    many = np.diff(np.r_[cuts, len(h)])
-    c["m"] = np.repeat(many, many).astype(np.int32)
-    c["g"] = np.repeat(np.minimum.reduceat(tb.mix(c["rep"].view(np.uint64)) >> np.uint64(1), cuts), many).view(np.int64)
-    on = np.flatnonzero(np.repeat(many, many) > 1)
+    of, first, _ = _leaders(c["h"], c["rep"], c["rep"], 0)
+    many = np.bincount(of)[of]
+    c["m"], c["g"] = many.astype(np.int32), c["rep"][first][of]
+    on = np.flatnonzero(many > 1)
     for lo in range(0, len(on), 100_000):
         at = on[lo : lo + 100_000]
         yield pa.RecordBatch.from_arrays([pa.array(c[k][at]) for k in ("g", "h", "n", "rep", "m")], ["g", "h", "n", "rep", "m"])
 
 
-def _candidates(turn: int | None):
-    """Rows (x, y, nx, ny, lists): pairs that share lists, with hubs as x in round ``turn``, or, if None, all of different components."""
+def _leaders(h: np.ndarray, rep: np.ndarray, group: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(each row's list, each list's row of least hash, and that of least hash in another group, if there is one)."""
+    cuts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    of = np.repeat(np.arange(len(cuts)), np.diff(np.r_[cuts, len(h)]))
+    mixed = tb.mix(rep.view(np.uint64) + np.uint64(turn * 0x9E3779B9))
+    first = np.lexsort((mixed, of))[cuts]
+    other = np.where(group != group[first][of], mixed, np.uint64(0xFFFFFFFFFFFFFFFF))
+    return of, first, np.lexsort((other, of))[cuts]
+
+
+def _votes(turn: int):
+    """Rows (rep, lead, n, lists): the lists of a set by leader, where that is not of its component and pivot already."""
 
     def make():
         held: list[np.ndarray] = []
         size = 0
 
         def summed():
-            # equal pairs become neighbours and are counted
             p = np.concatenate(held)
             p = p[np.lexsort((p[:, 1], p[:, 0]))]
-            new = np.flatnonzero(np.r_[True, (p[1:, :2] != p[:-1, :2]).any(1)])
-            times = np.diff(np.r_[new, len(p)])
-            return pa.RecordBatch.from_arrays([*(pa.array(p[new, k].copy()) for k in range(4)), pa.array(times.astype(np.int64))], ["x", "y", "nx", "ny", "lists"])
+            new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]).any(1)])
+            return pa.RecordBatch.from_arrays([*(pa.array(p[new, k].copy()) for k in range(3)), pa.array(np.diff(np.r_[new, len(p)]).astype(np.int64))], ["rep", "lead", "n", "lists"])
 
         def fn(c, end):
             nonlocal held, size
-            if not end:
-                cuts = np.flatnonzero(np.r_[True, c["h"][1:] != c["h"][:-1]])
-                stops = np.r_[cuts[1:], len(c["h"])]
-                n, rep, comp, lists = c["n"].astype(np.int64), c["rep"], c["comp"], c["lists"]
-                held += _short(cuts, stops, n, rep, comp, lists)
-                size = sum(map(len, held))
-                for a, z in zip(cuts[stops - cuts > LONG], stops[stops - cuts > LONG]):
-                    if (comp[a:z] == comp[a]).all():
-                        continue
-                    for p in (_all if turn is None else _hubs)(n[a:z], rep[a:z], comp[a:z], lists[a:z], turn):
-                        held.append(p)
-                        size += len(p)
-                        if size > FLUSH // 2:
-                            yield summed()
-                            held, size = [], 0
-            elif size:
+            if end:
+                if size:
+                    yield summed()
+                return
+            rep, comp, group = c["rep"], c["comp"], c[f"p{turn - 1}" if turn else "comp"]
+            of, first, second = _leaders(c["h"], rep, group, turn)
+            lead = np.where(group == group[first][of], second[of], first[of])
+            ok = (comp != comp[lead]) & (group != group[lead])
+            if turn == 0:  # a leader waits for the next round
+                ok &= first[of] != np.arange(len(rep))
+            held.append(np.stack([rep[ok], rep[lead[ok]], c["n"][ok].astype(np.int64)], 1))
+            size += int(ok.sum())
+            if size > FLUSH:
                 yield summed()
+                held, size = [], 0
 
         return fn
 
-    return lambda batches: _runs(["h", "n", "rep", "comp", "lists"])(make())(batches)
+    return lambda batches: _runs(["h", "n", "rep", *_GROUPS])(make())(batches)
+
+
+def _candidates(batches):
+    """Rows (x, y, nx, ny, lists): pairs that share lists and have neither component nor pivot in common."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def summed():
+        # equal pairs become neighbours and are counted
+        p = np.concatenate(held)
+        p = p[np.lexsort((p[:, 1], p[:, 0]))]
+        new = np.flatnonzero(np.r_[True, (p[1:, :2] != p[:-1, :2]).any(1)])
+        times = np.diff(np.r_[new, len(p)])
+        return pa.RecordBatch.from_arrays([*(pa.array(p[new, k].copy()) for k in range(4)), pa.array(times.astype(np.int64))], ["x", "y", "nx", "ny", "lists"])
+
+    def fn(c, end):
+        nonlocal held, size
+        if end:
+            if size:
+                yield summed()
+            return
+        cuts = np.flatnonzero(np.r_[True, c["h"][1:] != c["h"][:-1]])
+        stops = np.r_[cuts[1:], len(c["h"])]
+        n, rep, lists = c["n"].astype(np.int64), c["rep"], c["lists"]
+        groups = np.stack([c[k] for k in _GROUPS])
+        short = _short(cuts, stops, n, rep, groups, lists)
+        held += short
+        size += sum(map(len, short))
+        for a, z in zip(cuts[stops - cuts > LONG], stops[stops - cuts > LONG]):
+            if (groups[:, a:z] == groups[:, a : a + 1]).all(1).any():
+                continue
+            for p in _all(n[a:z], rep[a:z], groups[:, a:z], lists[a:z]):
+                held.append(p)
+                size += len(p)
+                if size > FLUSH // 2:
+                    yield summed()
+                    held, size = [], 0
+
+    return _runs(["h", "n", "rep", "lists", *_GROUPS])(fn)(batches)
+
+
+#: A set's component, and its pivot of each round: itself, where it has none.
+_GROUPS = ["comp", *[f"p{k}" for k in range(ROUNDS)]]
 
 
 def _reach(n: np.ndarray) -> np.ndarray:
@@ -188,35 +246,25 @@ def _reach(n: np.ndarray) -> np.ndarray:
     return np.searchsorted(n, n * DEN // NUM, "right")
 
 
+def _short_of(nx: str, ny: str) -> Column:
+    """The same for columns, of lists counted over the whole index."""
+    unseen = lambda n: F.ceil(F.col(n) * NUM / DEN) - 1  # what a set has after its prefix
+    return (F.col(nx) + F.col(ny)) * NUM / (NUM + DEN) - F.greatest(unseen(nx), unseen(ny))
+
+
 def _needed(nx, ny):
     """Lists that sets of these sizes share if they link: the intersection's least, less what the prefixes leave unseen."""
     unseen = np.maximum(-(-NUM * nx // DEN), -(-NUM * ny // DEN)) - 1
     return (nx + ny) * NUM / (NUM + DEN) - unseen - 1e-6
 
 
-def _hubs(n, rep, comp, lists, turn):
-    """In each block, the sets that come first by a hash of this round, with all sets of other components."""
-    a, reach = 0, _reach(n)
-    while a < len(n):
-        z = int(reach[a])
-        mixed = tb.mix(rep[a:z].view(np.uint64) + np.uint64(turn * 0x9E3779B9))
-        first = np.argsort(mixed, kind="stable")[: HUBS if turn else PARTNERS]
-        place = np.full(z - a, HUBS)
-        place[first] = np.arange(len(first))
-        for k, hub in enumerate(first):
-            other = a + np.flatnonzero((comp[a:z] != comp[a + hub]) & (place > k))
-            if len(other):
-                yield _rows(n, rep, lists, other, a + hub)
-        a = z
-
-
 def _rows(n, rep, lists, other, i):
     other = other[np.minimum(lists[other], lists[i]) >= _needed(n[other], n[i])]
     swap = rep[other] < rep[i]
     return np.stack([np.where(swap, rep[other], rep[i]), np.where(swap, rep[i], rep[other]), np.where(swap, n[other], n[i]), np.where(swap, n[i], n[other])], 1)
 
 
-def _short(cuts, stops, n, rep, comp, lists):
+def _short(cuts, stops, n, rep, groups, lists):
     """All pairs of all lists that are not long, by distance in the list."""
     many = np.repeat(stops - cuts, stops - cuts)
     left = np.repeat(stops, stops - cuts) - np.arange(len(n))  # places to the list's end
@@ -225,7 +273,7 @@ def _short(cuts, stops, n, rep, comp, lists):
         i = np.flatnonzero((many <= LONG) & (left > d))
         if not len(i):
             break
-        i = i[(comp[i] != comp[i + d]) & (n[i + d] * NUM <= n[i] * DEN)]
+        i = i[(groups[:, i] != groups[:, i + d]).all(0) & (n[i + d] * NUM <= n[i] * DEN)]
         i = i[np.minimum(lists[i], lists[i + d]) >= _needed(n[i], n[i + d])]
         if len(i):
             swap = rep[i] > rep[i + d]
@@ -233,9 +281,9 @@ def _short(cuts, stops, n, rep, comp, lists):
     return out
 
 
-def _all(n, rep, comp, lists, _):
+def _all(n, rep, groups, lists):
     for i, z in enumerate(_reach(n)):
-        other = i + 1 + np.flatnonzero(comp[i + 1 : z] != comp[i])
+        other = i + 1 + np.flatnonzero((groups[:, i + 1 : z] != groups[:, i : i + 1]).all(0))
         if len(other):
             yield _rows(n, rep, lists, other, i)
 
@@ -292,6 +340,80 @@ def _checked(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return one.join(small(may, k), "x").join(two, "y").mapInArrow(_do_link, "x long, y long")
 
 
+def _delta(batches):
+    """(pivot, rep, n, np, lacks, delta) of the sets that have half of all shingles in common with their pivot."""
+    for b in batches:
+        rows = []
+        for i, (p, x) in enumerate(zip(b.column("raw_p").to_pylist(), b.column("raw").to_pylist())):
+            p, x = np.frombuffer(p, np.uint64), np.frombuffer(x, np.uint64)
+            differ = np.setxor1d(p, x, assume_unique=True)
+            common = (len(p) + len(x) - len(differ)) // 2
+            if 2 * common >= len(p) + len(x) - common:
+                rows.append((i, len(x), len(p), len(p) - common, differ.tobytes()))
+        at, n, n_p, lacks, delta = zip(*rows) if rows else [()] * 5
+        at = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("pivot").take(at), b.column("rep").take(at), *(pa.array(c, pa.int64()) for c in (n, n_p, lacks)), pa.array(delta, pa.binary())], ["pivot", "rep", "n", "np", "lacks", "delta"])
+
+
+def _common(rows: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many delta shingles each of ``rows`` has in common with each of ``others``: sums of products over columns that both have."""
+    h, k = np.concatenate([*rows, np.zeros(0, np.uint64)]), np.concatenate([*others, np.zeros(0, np.uint64)])
+    u = np.intersect1d(h, k)
+    out = np.zeros((len(rows), len(others)), np.float32)
+    places = []
+    for x, own in ((h, rows), (k, others)):
+        at = np.searchsorted(u, x)
+        at[at == len(u)] = 0
+        ok = u[at] == x if len(u) else np.zeros(len(x), bool)
+        places.append((np.repeat(np.arange(len(own)), [len(r) for r in own])[ok], at[ok]))
+    for lo in range(0, len(u), COLUMNS):
+        m = []
+        for (of, at), own in zip(places, (rows, others)):
+            ok = (at >= lo) & (at < lo + COLUMNS)
+            a = np.zeros((len(own), min(COLUMNS, len(u) - lo)), np.float32)
+            a[of[ok], at[ok] - lo] = 1
+            m.append(a)
+        out += m[0] @ m[1].T
+    return out
+
+
+def _derived(t: pa.Table) -> pa.Table:
+    """(x, y): a forest of the links among a pivot's sets of one block, or between two of its blocks."""
+    a, b = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    block = t.column("block").to_numpy()
+    rep, n, lacks = (t.column(c).to_numpy().astype(np.int64) for c in ("rep", "n", "lacks"))
+    delta = [np.frombuffer(x, np.uint64) for x in t.column("delta").to_pylist()]
+    p, q = np.flatnonzero(block == a), np.flatnonzero(block == b)
+    common = t.column("np")[0].as_py() - lacks[p][:, None] - lacks[q] + _common([delta[i] for i in p], [delta[i] for i in q])
+    link = _linked(common, n[p][:, None], n[q])
+    # each set takes the least label among those it links with until all agree
+    label = np.arange(len(rep))
+    while True:
+        old = label.copy()
+        most = len(rep)
+        np.minimum.at(label, p, np.where(link, label[q], most).min(1, initial=most))
+        np.minimum.at(label, q, np.where(link, label[p][:, None], most).min(0, initial=most))
+        label = label[label]
+        if (label == old).all():
+            break
+    own = np.flatnonzero(rep[label] != rep)
+    return pa.table({"x": rep[label[own]], "y": rep[own]})
+
+
+def _by_pivots(sets_of: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (x, y) among the sets of each pivot, and (rep, pivot) of the sets that are like theirs; ``chosen`` (rep, pivot)."""
+    pivots = sets_of.join(chosen.select(F.col("pivot").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("pivot"), F.col("raw").alias("raw_p"))
+    deltas = cut(sets_of.select("rep", "raw").join(small(chosen, chosen.count()), "rep").join(pivots, "pivot").select("pivot", "rep", "raw", "raw_p").mapInArrow(_delta, "pivot long, rep long, n long, np long, lacks long, delta binary"))
+    # a pivot differs from itself in nothing
+    self = deltas.groupBy("pivot").agg(F.max("np").alias("n"), F.count("*").alias("sets"))
+    both = deltas.unionByName(self.select("pivot", F.col("pivot").alias("rep"), "n", F.col("n").alias("np"), F.lit(0).cast("long").alias("lacks"), F.lit(b"").alias("delta")))
+    blocks = self.select("pivot", F.ceil((F.col("sets") + 1) / BLOCK).cast("int").alias("blocks"))
+    both = both.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    links = dealt.select("pivot", "i", "j", "block", "rep", "n", "np", "lacks", "delta").groupBy("pivot", "i", "j").applyInArrow(_derived, "x long, y long")
+    return links, deltas.select("rep", "pivot")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each component, for all nodes of ``edges`` (x, y)."""
     edges = cut(edges.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
@@ -352,48 +474,42 @@ def join(docs: DataFrame) -> DataFrame:
     firsts = docs.where("doc_id is not null").join(small(copies.select("doc_id").distinct(), n_copies), "doc_id", "left_anti")
     rows = firsts.mapInArrow(index, "h long, n int, rep long").repartition("h").sortWithinPartitions("h", "n", "rep")
     lists = rows.mapInArrow(_runs(["h", "n", "rep"])(_shared), "g long, h long, n int, rep long, m int")
-    # lists that begin alike go together: the pairs that they repeat are counted where they are found
-    lists = cut(lists.repartition("g").sortWithinPartitions("g", "h", "n", "rep"))
+    # lists with one leader go together, so that the pairs that they repeat are counted where they are found; many of them are dealt out
+    sizes = cut(lists.groupBy("g").agg(F.count("*").alias("rows")).where(F.col("rows") > TOGETHER))
+    lists = lists.join(small(sizes, sizes.count()), "g", "left")
+    part = F.coalesce(F.pmod(F.xxhash64("h"), F.ceil(F.col("rows") / TOGETHER)), F.lit(0)).cast("int")
+    lists = cut(lists.select("g", part.alias("part"), "h", "n", "rep", "m").repartition("g", "part").sortWithinPartitions("g", "part", "h", "n", "rep"))
     nodes = cut(lists.groupBy("rep").agg(F.count("*").alias("lists")))
     n_nodes = nodes.count()
 
-    labels = nodes.select("rep", F.col("rep").alias("comp"), "lists")
-    long_lists = None
-    turns: list[int | None] = [*range(ROUNDS), None]
-    while turns:
-        turn = turns.pop(0)
-        if turn == 1:  # short lists are done but for the last round
-            long_lists = cut(lists.where(F.col("m") > LONG))
-        elif turn is None:
-            long_lists = None
-        of = lists if long_lists is None else long_lists
-        marked = of.join(small(labels, n_nodes), "rep")
+    labels = nodes.select("rep", "lists", *[F.col("rep").alias(k) for k in _GROUPS])
+    for turn in [*range(ROUNDS), None]:
+        marked = lists.join(small(labels, n_nodes), "rep")
         if n_nodes > SMALL:
-            marked = marked.repartition("g").sortWithinPartitions("g", "h", "n", "rep")
-        pairs = marked.select("h", "n", "rep", "comp", "lists").mapInArrow(_candidates(turn), "x long, y long, nx long, ny long, lists long")
-        pairs = pairs.groupBy("x", "y", "nx", "ny").agg(F.sum("lists").alias("lists"))
-        unseen = lambda n: F.ceil(n * NUM / DEN) - 1  # what a set has after its prefix
-        short = (F.col("nx") + F.col("ny")) * NUM / (NUM + DEN) - F.greatest(unseen(F.col("nx")), unseen(F.col("ny")))  # lists that a link needs
+            marked = marked.repartition("g", "part").sortWithinPartitions("g", "part", "h", "n", "rep")
         if turn is None:
-            pairs = pairs.where(F.col("lists") >= short - 1e-6).select("x", "y")
-        else:  # hubs are not seen in all their lists; each set is checked with those it shares most with
-            pairs = pairs.where(F.col("lists") >= short / 2 - 1e-6).select("x", "y", "lists")
-            best = Window.partitionBy("x").orderBy(F.desc("lists"), "y")
-            both = pairs.unionByName(pairs.select(F.col("x").alias("y"), F.col("y").alias("x"), "lists"))
-            if turn == 0:
-                both = both.withColumn("k", F.row_number().over(best)).where(F.col("k") <= PARTNERS)
-            pairs = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        pairs = cut(pairs)
+            pairs = marked.select("h", "n", "rep", "lists", *_GROUPS).mapInArrow(_candidates, "x long, y long, nx long, ny long, lists long")
+            pairs = pairs.groupBy("x", "y", "nx", "ny").agg(F.sum("lists").alias("lists"))
+            pairs = cut(pairs.where(F.col("lists") >= _short_of("nx", "ny") - 1e-6).select("x", "y"))
+        else:
+            votes = marked.select("h", "n", "rep", *_GROUPS).mapInArrow(_votes(turn), "rep long, lead long, n long, lists long").groupBy("rep", "n", "lead").agg(F.sum("lists").alias("lists"))
+            best = votes.groupBy("rep", "n").agg(F.max_by("lead", F.struct("lists", F.xxhash64("lead"))).alias("pivot"), F.max("lists").alias("lists"))
+            best = best.where(F.col("lists") >= LIKE * (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1))
+            pairs = cut(best.select(F.col("rep").alias("x"), F.col("pivot").alias("y")))
         named = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
         whole = cut(docs.join(small(named, n_nodes), "doc_id", "left_semi").mapInArrow(_whole, "rep long, n long, bins binary, raw binary"))
-        new = _checked(pairs, whole)
+        if turn is None:
+            new = _checked(pairs, whole)
+        else:
+            new, like = _by_pivots(whole, pairs.select(F.col("x").alias("rep"), F.col("y").alias("pivot")))
+            k = f"p{turn}"
+            labels = labels.drop(k).join(like.withColumnRenamed("pivot", k), "rep", "left").withColumn(k, F.coalesce(k, "rep"))
         at = labels.select(F.col("rep").alias("x"), F.col("comp").alias("cx"))
         bt = labels.select(F.col("rep").alias("y"), F.col("comp").alias("cy"))
         edges = cut(new.join(at, "x").join(bt, "y").where("cx <> cy").select(F.col("cx").alias("x"), F.col("cy").alias("y")))
-        if edges.isEmpty():  # hubs find no more: all pairs that are left
-            turns = turns[-1:]
-            continue
-        up = components(edges).select(F.col("node").alias("comp"), "root")
-        labels = cut(labels.join(up, "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp"), "lists"))
+        if not edges.isEmpty():
+            up = components(edges).select(F.col("node").alias("comp"), "root")
+            labels = labels.join(up, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+        labels = cut(labels.select("rep", "lists", *_GROUPS))
     out = base.join(copies, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(labels.select("rep", "comp"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
