@@ -24,7 +24,7 @@ a link.
 
 Every step is a join, an aggregate or a sorted stream. Components are found
 on executors, by contraction of edges. A side is broadcast only if counted and
-at most ``SMALL`` rows; beyond that the same join shuffles.
+at most ``SMALL`` numbers; beyond that the same join shuffles.
 """
 
 from __future__ import annotations
@@ -47,8 +47,8 @@ ROUNDS, BLOCK, COLUMNS = 2, 512, 4096
 LIKE = 0.3
 #: List entries of one leader that stay together.
 TOGETHER = 4096
-#: Most rows that a broadcast side may have (16 bytes each).
-SMALL = 1_000_000
+#: Most numbers, rows times columns, that a broadcast side may have (8 bytes each).
+SMALL = 4_000_000
 #: Shingles counted before a task sums up, the least count it then reports, and most frequent ones that are told apart.
 FLUSH, REPORT, FREQUENT = 1_000_000, 4, 1 << 20
 
@@ -109,7 +109,8 @@ def prefix(x: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= SMALL else df.hint("merge")
+    """``df``, of numbers alone, to be broadcast if its counted ``rows`` allow it, else to be merged."""
+    return F.broadcast(df) if rows * len(df.columns) <= SMALL else df.hint("merge")
 
 
 def _runs(columns: list[str]):
@@ -144,12 +145,11 @@ def _shared(c, end):
     if end:
         return
     of, first, _ = _leaders(c["h"], c["rep"], c["rep"], 0)
-    many = np.bincount(of)[of]
-    c["m"], c["g"] = many.astype(np.int32), c["rep"][first][of]
-    on = np.flatnonzero(many > 1)
+    c["g"] = c["rep"][first][of]
+    on = np.flatnonzero(np.bincount(of)[of] > 1)
     for lo in range(0, len(on), 100_000):
         at = on[lo : lo + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(c[k][at]) for k in ("g", "h", "n", "rep", "m")], ["g", "h", "n", "rep", "m"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[k][at]) for k in ("g", "h", "n", "rep")], ["g", "h", "n", "rep"])
 
 
 def _leaders(h: np.ndarray, rep: np.ndarray, group: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -473,19 +473,19 @@ def join(docs: DataFrame) -> DataFrame:
     n_copies = copies.count()
     firsts = docs.where("doc_id is not null").join(small(copies.select("doc_id").distinct(), n_copies), "doc_id", "left_anti")
     rows = firsts.mapInArrow(index, "h long, n int, rep long").repartition("h").sortWithinPartitions("h", "n", "rep")
-    lists = rows.mapInArrow(_runs(["h", "n", "rep"])(_shared), "g long, h long, n int, rep long, m int")
+    lists = cut(rows.mapInArrow(_runs(["h", "n", "rep"])(_shared), "g long, h long, n int, rep long"))
     # lists with one leader go together, so that the pairs that they repeat are counted where they are found; many of them are dealt out
     sizes = cut(lists.groupBy("g").agg(F.count("*").alias("rows")).where(F.col("rows") > TOGETHER))
     lists = lists.join(small(sizes, sizes.count()), "g", "left")
     part = F.coalesce(F.pmod(F.xxhash64("h"), F.ceil(F.col("rows") / TOGETHER)), F.lit(0)).cast("int")
-    lists = cut(lists.select("g", part.alias("part"), "h", "n", "rep", "m").repartition("g", "part").sortWithinPartitions("g", "part", "h", "n", "rep"))
+    lists = cut(lists.select("g", part.alias("part"), "h", "n", "rep").repartition("g", "part").sortWithinPartitions("g", "part", "h", "n", "rep"))
     nodes = cut(lists.groupBy("rep").agg(F.count("*").alias("lists")))
     n_nodes = nodes.count()
 
     labels = nodes.select("rep", "lists", *[F.col("rep").alias(k) for k in _GROUPS])
     for turn in [*range(ROUNDS), None]:
         marked = lists.join(small(labels, n_nodes), "rep")
-        if n_nodes > SMALL:
+        if n_nodes * len(labels.columns) > SMALL:
             marked = marked.repartition("g", "part").sortWithinPartitions("g", "part", "h", "n", "rep")
         if turn is None:
             pairs = marked.select("h", "n", "rep", "lists", *_GROUPS).mapInArrow(_candidates, "x long, y long, nx long, ny long, lists long")
