@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drayage.llm.store import cut
+from drayage.llm.store import cut, spare
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Kinds in their order. Equal in what they match to the plain forms of the contract, but linear in time.
@@ -100,7 +100,7 @@ def _terms(c: Column) -> Column:
 
 
 def disclosing(found: DataFrame, docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
-    """(entity, term) of the terms that disclose an entity; ``found`` (row, doc_id, text, base), ``docs`` (text)."""
+    """(entity, term) of the terms that disclose an entity; ``found`` (row, text, base), ``docs`` (text)."""
     n = docs.count()
     found = found.where(F.size("base") > 0).withColumn("t", F.xxhash64("text"))
     # documents of each entity, by text: copies are put together before terms are made
@@ -126,49 +126,54 @@ def disclosing(found: DataFrame, docs: DataFrame, support: int = SUPPORT, alpha:
     return beside.join(df, "term").where((ic > 0) & (pmi >= alpha * ic)).select("entity", "term")
 
 
-def find(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
-    """``docs`` with ``__base`` and ``__spans``: base spans, and those with the terms that disclose them.
+def find(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> tuple[DataFrame, Column, Column, Column]:
+    """``docs`` with columns of its own, and these: text, base spans, and those with the terms that disclose them.
 
     A null text is empty. A disclosing term is a span of kind ``term`` wherever
     it stands, as a whole word, in a document that holds the entity. Spans of a
-    term within a base span are left out. Rows may repeat.
+    term within a base span are left out. Rows may repeat, and lack a doc_id; all
+    columns stay, whatever they are called. Only documents with base spans are
+    kept aside and joined with the terms; all others go straight through.
     """
     names = docs.columns
-    kept = docs.withColumn("__text", F.coalesce("text", F.lit(""))).withColumn("__base", base_spans(F.col("__text")))
-    row = F.xxhash64("__text", F.col("doc_id") if "doc_id" in names else F.lit(0))
-    hits = cut(kept.where(F.size("__base") > 0).select(row.alias("row"), F.col("__text").alias("text"), F.col("__base").alias("base")))
-    reveal = disclosing(hits, docs.select("text"), support, alpha)
-    mine = hits.select("row", "text", F.explode(F.transform("base", lambda s: F.lower(s["value"]))).alias("entity")).join(reveal, "entity").groupBy("row").agg(F.collect_set("term").alias("__terms"))
-    out = kept.withColumn("__row", row).join(mine.withColumnRenamed("row", "__row"), "__row", "left")
+    text, base, all_, row, terms = spare(names, "plain", "base", "spans", "row", "terms")
+    own = F.coalesce("text", F.lit(""))
+    none = F.array().cast("array<struct<start:int,ord:int,end:int,value:string>>")
+    key = F.xxhash64("text", F.col("doc_id") if "doc_id" in names else F.lit(0))
+    hits = cut(docs.withColumn(base, base_spans(own)).where(F.size(base) > 0).withColumn(row, key))
+    plain = docs.where(F.size(base_spans(own)) == 0).select(*names, own.alias(text), none.alias(base), none.alias(all_))
+    found = hits.select(F.col(row).alias("row"), "text", F.col(base).alias("base"))
+    reveal = disclosing(found, docs.select("text"), support, alpha)
+    mine = found.select("row", F.explode(F.transform("base", lambda s: F.lower(s["value"]))).alias("entity")).join(reveal, "entity").groupBy(F.col("row").alias(row)).agg(F.collect_set("term").alias(terms))
+    out = hits.join(mine, row, "left")
     # words and what lies between them give the places of the terms
-    pattern = r"[\p{L}\p{N}]++"
-    text, t = F.col("__text"), F.col("__terms")
-    words = _spans(text, "term", pattern, len(PATTERNS))
-    terms = F.filter(words, lambda s: F.array_contains(t, F.lower(s["value"])) & ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    spans = F.when(t.isNull(), F.col("__base")).otherwise(F.array_sort(F.concat("__base", terms)))
-    return out.withColumn("__spans", spans).select(*names, "__text", "__base", "__spans")
+    words = _spans(F.col("text"), "term", r"[\p{L}\p{N}]++", len(PATTERNS))
+    t = F.col(terms)
+    at = F.filter(words, lambda s: F.array_contains(t, F.lower(s["value"])) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    spans = F.when(t.isNull(), F.col(base)).otherwise(F.array_sort(F.concat(base, at)))
+    out = out.select(*names, F.col("text").alias(text), base, spans.alias(all_))
+    return plain.unionByName(out), F.col(text), F.col(base), F.col(all_)
 
 
 def report(documents: DataFrame) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and spans for every row."""
-    f = find(documents.select("doc_id", "text"))
-    count = lambda i: F.size(F.filter("__base", lambda s: s["ord"] == i)).cast("long")
+    f, _, base, spans = find(documents.select("doc_id", "text"))
+    count = lambda i: F.size(F.filter(base, lambda s: s["ord"] == i)).cast("long")
     return f.select(
         F.col("doc_id").cast("long").alias("doc_id"), *[count(i).alias(f"n_{k}") for i, k in enumerate(PATTERNS)],
-        F.sha2(_listed(F.col("__base"), KINDS).cast("binary"), 256).alias("base_sha256"), _listed(F.col("__spans"), KINDS).alias("spans"),
-    )
+        F.sha2(_listed(base, KINDS).cast("binary"), 256).alias("base_sha256"), _listed(spans, KINDS).alias("spans"),
+    )
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with every span put in general terms; texts without spans, and all other columns, stay; n_chars is made to fit."""
-    f = find(docs)
+    f, text, _, spans = find(docs)
     names = F.array(*[F.lit(GENERAL[k]) for k in KINDS])
-    text, spans = F.col("__text"), F.col("__spans")
     done = _scan(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
     # a span that begins in what is already replaced goes with it
     pieces = F.zip_with(spans, done, lambda s, at: F.when(s["start"] >= at, F.concat(F.substring(text, at + 1, s["start"] - at), F.element_at(names, s["ord"] + 1))).otherwise(""))
     walk = F.concat(F.array_join(pieces, ""), F.substring(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length(text)))
-    f = f.withColumn("text", F.when(F.size("__spans") > 0, walk).otherwise(F.col("text")))
+    f = f.withColumn("text", F.when(F.size(spans) > 0, walk).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        f = f.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        f = f.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return f.select(*docs.columns)
