@@ -143,16 +143,21 @@ def _stats(batches):
     for b in batches:
         for lo, hi, buf, starts in tb.slices(b, "text"):
             x = features(buf, starts)
-            yield pa.RecordBatch.from_arrays([b.column("y").slice(lo, hi - lo), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("y").slice(lo, hi - lo), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Trees from labelled rows: ``labels`` (doc_id, quality) with quality 0 or 1, joined to ``docs`` (doc_id, text)."""
-    labels = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
+    """Trees from labelled rows: ``labels`` (doc_id, quality) with quality 0 or 1, joined to ``docs`` (doc_id, text).
+
+    A doc_id counts once, however often either table repeats it: with its greatest
+    label and its least statistics. So about ``sample`` rows come to the driver.
+    """
+    labels = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("double").alias("y")).withColumn("doc_id", F.col("doc_id").cast("long"))
     n = labels.count()
     mine = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1)))
     few = labels.where(mine)
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("y", "text").mapInArrow(_stats, "y double, x array<double>").toArrow()  # about `sample` rows
+    stats = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(few), "doc_id").select("doc_id", "y", "text").mapInArrow(_stats, "doc_id long, y double, x array<double>")
+    rows = stats.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).select("y", "x").toArrow()
     y = rows.column("y").to_numpy()
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1) if len(y) else np.zeros((0, 1))
     o = np.lexsort((*x.T, y))  # the same trees however rows arrive
@@ -163,7 +168,9 @@ def scores(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
     """doc_id, held_out, score and predicted for every document.
 
     The text alone decides; a null text is empty and scored as such. Where no
-    label can be learned every score is one half. Repeated rows are scored alike.
+    label can be learned every score is one half. Repeated rows are scored alike,
+    rows without a doc_id too, which are not learned from. Other columns of
+    ``documents`` are left out.
     """
     held = fold(F.col("doc_id"), 3) == 1
     trees = fit(documents.select("doc_id", "text"), labels.where(~held).select("doc_id", "quality"), sample)

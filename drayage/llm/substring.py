@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drayage.llm import textbuf as tb
+from drayage.llm.store import spare
 
 #: A cut for about every 32 bytes; a longer stretch without one is cut at MOST bytes.
 MASK, MOST = np.uint16(0xF800), 1024
@@ -139,18 +140,23 @@ def passages(documents: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
 def deduplicate(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` without the passages that a document of smaller id holds; columns and other rows stay.
 
-    n_chars, if there, is made to fit. A text of nothing else becomes empty.
+    n_chars, if there, is made to fit. A text of nothing else becomes empty. Rows
+    of one doc_id are one document, whose chunks are put together: of repeated
+    rows each loses what a smaller id holds, none loses what only they share.
+    Rows without a doc_id, and null or empty texts, stay as they are. Of the
+    documents that hold a chunk the smallest id keeps it; there are no other ties.
     """
-    cuts = repeats(docs, min_run).where(F.size("removable") > 0).groupBy(F.col("doc_id").alias("__doc")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removable")))).alias("__cuts"))
-    raw = F.encode("text", "UTF-8")
+    doc, cuts_ = spare(docs.columns, "doc", "cuts")
+    cuts = repeats(docs, min_run).where(F.size("removable") > 0).groupBy(F.col("doc_id").alias(doc)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removable")))).alias(cuts_))
+    raw, at = F.encode("text", "UTF-8"), F.col(cuts_)
     # each kept part lies between the end of one cut and the start of the next
     fence = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
     stop = F.struct(F.octet_length("text").alias("start"), F.octet_length("text").alias("end"))
-    edges = F.concat(F.array(fence), F.col("__cuts"), F.array(stop))
-    kept = F.transform(F.sequence(F.lit(1), F.size("__cuts") + 1), lambda i: F.substring(raw, F.element_at(edges, i)["end"] + 1, F.element_at(edges, i + 1)["start"] - F.element_at(edges, i)["end"]))
+    edges = F.concat(F.array(fence), at, F.array(stop))
+    kept = F.transform(F.sequence(F.lit(1), F.size(at) + 1), lambda i: F.substring(raw, F.element_at(edges, i)["end"] + 1, F.element_at(edges, i + 1)["start"] - F.element_at(edges, i)["end"]))
     text = F.decode(F.aggregate(kept, F.lit(b""), lambda a, p: F.concat(a, p)), "UTF-8")
     names = docs.columns
-    out = docs.join(cuts, F.col("doc_id").cast("long") == F.col("__doc"), "left").withColumn("text", F.when(F.col("__cuts").isNotNull(), text).otherwise(F.col("text")))
+    out = docs.join(cuts, F.col("doc_id").cast("long") == F.col(doc), "left").withColumn("text", F.when(at.isNotNull(), text).otherwise(F.col("text")))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__cuts").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(at.isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*names)
