@@ -6,21 +6,32 @@ the columns of documents; the last returns where each piece of a text is packed.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drayage.llm import jaccard, langid, packing, pii, substring
-from drayage.llm.store import cut
+from drayage.llm.store import cut, folder
+
+#: Least posterior of its language with which a document stays.
+SURE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: a null text, or one without a letter."""
-    held = langid.held_out(docs)
-    out = langid.identify(docs, docs.where(~held).select("doc_id", "text", "lang"))
-    return out.where("lang_pred <> 'und'").select(*docs.columns)
+    """Drops documents without a language: a null text, one without a letter, or one whose best language has a posterior under ``SURE``.
+
+    Where no document has a language to learn from, all stay.
+    """
+    train = docs.where(~langid.held_out(docs)).select("doc_id", "text", "lang")
+    if train.where("lang IS NOT NULL AND text IS NOT NULL").isEmpty():
+        return docs
+    pred, score = "lang_pred", "score"
+    own = [c for c in docs.columns if c.lower() in (pred, score)]
+    if own:  # columns that identify would replace
+        docs = docs.withColumnsRenamed({c: f"__{c}" for c in own})
+    out = langid.identify(docs, train).where(f"lang_pred <> 'und' AND score >= {SURE}").drop(pred, score)
+    return out.withColumnsRenamed({f"__{c}": c for c in own})
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +47,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         return kept
     many = kept.join(jaccard.small(again, again.count()), "doc_id", "left_semi").select(*docs.columns)
     others = kept.join(jaccard.small(again, again.count()), "doc_id", "left_anti").select(*docs.columns)
-    one = many.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("r"))
-    return others.unionByName(one.select("doc_id", "r.*"))
+    one = many.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("__one"))
+    return others.unionByName(one.select("doc_id", "__one.*"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,16 +68,24 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("jaccard_join", near_duplicates), ("substring_dedup", substrings), ("pii", personal_data), ("packing", pack)]
 
-#: SQL states neither content-defined chunks nor the tokenizer; tests hold the stages against brute force.
+#: SQL states neither content-defined chunks nor the tokenizer; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared checkpoint folder and read again."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="drayage-")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written to the shared checkpoint folder and read again.
+
+    What a stage read is removed once the stage after it is written; the last
+    one's table stays for whoever reads the result.
+    """
+    top = f"{folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{top}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            old = spark._jvm.org.apache.hadoop.fs.Path(before)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        before = path
     return docs
