@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from drayage.functions.exprs import collapse
 from drayage.operators import priors
 
-# Order of the fields, weights in hundredths, guard bounds and the bonus in ten-thousandths.
+# Order of the fields, weights in hundredths, guard bounds in ten-thousandths.
 ORDER = ["consignor", "consignee", "origin", "destination", "carrier", "driver_name"]
 FUZZY, UNARY, PAIR, TRIPLE, FULL, GUARD = 100, 15, 15, 28, 32, 50
 STRONG, MARGIN = 9200, 1200
-BONUS = 0.05
+#: Hundredths of history's share that a candidate's score gets on top.
+BONUS = 5
 TOP, BEAM, PER_FIELD = 5, 8, 4
 
 #: Relation and weight by the field that completes it.
@@ -34,7 +35,9 @@ def rank_candidates(found: DataFrame, k: int = TOP) -> DataFrame:
         F.min_by("value", F.struct(-F.col("fuzzy"), F.col("value"))).alias("value"), F.array_sort(F.collect_set("source")).alias("sources"),
         F.round(F.max("fuzzy"), 4).alias("fuzzy"), F.coalesce(F.max("prior_count"), F.lit(0)).cast("long").alias("prior_count"), F.round(F.coalesce(F.max("prior_prob"), F.lit(0.0)), 4).alias("prior_prob"),
     )
-    score = F.round(F.col("fuzzy") + BONUS * F.col("prior_prob"), 4)
+    # whole millionths: f in ten-thousandths times 100, and BONUS of p; four decimals, half up
+    tens = lambda c: F.round(F.col(c) * 10_000).cast("long")
+    score = F.floor((100 * tens("fuzzy") + BONUS * tens("prior_prob") + 50) / 100) / 10_000
     w = Window.partitionBy("doc_id", "field").orderBy(F.desc("score"), F.desc("prior_prob"), F.desc("prior_count"), F.lower("value"))
     return one.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("doc_id", "field", "rank", "value", "sources", "fuzzy", "prior_count", "prior_prob", "score")
 

@@ -45,13 +45,28 @@ def joint_decode(spark, d):
 def rescue_merge(spark, d):
     """What becomes of second readings of carriers and drivers, by action."""
     f = long(bills(spark, d)).where("field IN ('carrier', 'driver_name', 'consignee')").withColumn("previous", _read())
-    reasons = F.array_compact(F.array(F.when(F.col("previous").isNull(), "missing"), F.when(F.col("doc_id") % 5 == 0, "low_confidence"), F.when(F.col("doc_id") % 11 == 0, "inconsistent"), F.when(F.col("doc_id") % 4 == 0, "ambiguous")))
+    reasons = F.array_compact(F.array(F.when(F.col("previous").isNull(), rescue.MISSING), F.when(F.col("doc_id") % 5 == 0, rescue.LOW), F.when(F.col("doc_id") % 11 == 0, rescue.INCONSISTENT), F.when(F.col("doc_id") % 4 == 0, rescue.AMBIGUOUS)))
     answer = F.when(F.col("doc_id") % 13 == 0, "n/a").when(F.col("doc_id") % 2 == 0, F.concat("value", F.lit(" 2"))).otherwise(F.col("value"))
     m = rescue.merge(f.withColumns({"reasons": reasons, "answer": answer, "strong": F.col("doc_id") % 8 == 0}))
     return m.groupBy("field", "action").agg(F.count("*").alias("n"), F.count_if(collapse(F.col("value")) == collapse(F.col("previous"))).alias("unchanged"), F.min("value").alias("least"))
 
 
-QUERIES = {f.__name__: f for f in (field_candidates, joint_decode, rescue_merge)}
+def candidate_ambiguity(spark, d):
+    """Fields whose two best candidates lie close together."""
+    b = bills(spark, d)
+    return rescue.ambiguous(_candidates(b, priors.edges(b.where("reviewed"), [r for r, _ in PROPOSED])))
+
+
+def chosen_rank(spark, d):
+    """Where the true value stands among a field's candidates, counted."""
+    b = bills(spark, d)
+    c = _candidates(b, priors.edges(b.where("reviewed"), [r for r, _ in PROPOSED]))
+    gold = long(b).select("doc_id", "field", collapse(F.col("value")).alias("gold"))
+    place = c.join(gold, ["doc_id", "field"]).where(collapse(F.col("value")) == F.col("gold")).select("doc_id", "field", "rank")
+    return gold.join(place, ["doc_id", "field"], "left").groupBy("field", "rank").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (field_candidates, joint_decode, rescue_merge, candidate_ambiguity, chosen_rank)}
 
 _K = "regexp_replace(lower({}), '[^a-z0-9&]+', '', 'g')"
 _STUB = "length(regexp_replace({}, '[^A-Za-z]', '', 'g')) <= 3"
@@ -60,7 +75,7 @@ p AS (SELECT doc_id, field, value AS gold, CASE WHEN doc_id % 7 = 0 THEN NULL WH
 _TOLD = " UNION ALL ".join(f"SELECT doc_id, '{r[-1]}' AS field, target AS value, 'prior' AS source, CAST({PROPOSAL_FUZZY} AS DOUBLE) AS fuzzy, cnt AS prior_count, prob AS prior_prob FROM bills JOIN edges ON relation = '{'>'.join(r)}' AND given_key = {_K.format(r[0])} AND rank <= {k}" for r, k in PROPOSED)
 _CANDIDATES = f"""{_READ}, found AS (SELECT doc_id, field, value, 'ocr' AS source, CASE WHEN doc_id % 5 = 0 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS fuzzy, NULL::BIGINT AS prior_count, NULL::DOUBLE AS prior_prob FROM p WHERE value IS NOT NULL UNION ALL {_TOLD}),
 one AS (SELECT doc_id, field, {_K.format('value')} AS key, first(value ORDER BY fuzzy DESC, value) AS value, string_agg(DISTINCT source, '+' ORDER BY source) AS sources, max(fuzzy) AS fuzzy, coalesce(max(prior_count), 0) AS prior_count, coalesce(max(prior_prob), 0) AS prior_prob FROM found GROUP BY 1, 2, 3),
-scored AS (SELECT *, round(fuzzy + 0.05 * prior_prob, 4) AS score FROM one WHERE key <> ''),
+scored AS (SELECT *, ((100 * CAST(round(fuzzy * 10000) AS BIGINT) + 5 * CAST(round(prior_prob * 10000) AS BIGINT) + 50) // 100) / 10000 AS score FROM one WHERE key <> ''),
 cands AS (SELECT doc_id, field, CAST(row_number() OVER (PARTITION BY doc_id, field ORDER BY score DESC, prior_prob DESC, prior_count DESC, lower(value)) AS INTEGER) AS rank, value, sources, fuzzy, prior_count, prior_prob, score FROM scored QUALIFY rank <= 5)"""
 
 
@@ -83,6 +98,8 @@ beam{i + 1} AS (SELECT doc_id, {', '.join(r.ORDER[: i + 1])}, score, row_number(
 
 ORACLES = {
     "field_candidates": f"WITH {BILLS_SQL}, {priors.edges_sql([r for r, _ in PROPOSED])}, {_CANDIDATES} SELECT doc_id, field, rank, value, sources, fuzzy, prior_count, prior_prob, score FROM cands",
+    "candidate_ambiguity": f"WITH {BILLS_SQL}, {priors.edges_sql([r for r, _ in PROPOSED])}, {_CANDIDATES}, g AS (SELECT doc_id, field, rank, CAST(round(score * 10000) AS BIGINT) AS s, lead(CAST(round(score * 10000) AS BIGINT)) OVER (PARTITION BY doc_id, field ORDER BY rank) AS n FROM cands) SELECT doc_id, field, (s - n) / 10000 AS gap FROM g WHERE rank = 1 AND n IS NOT NULL AND s - n <= 800 AND s >= 7000",
+    "chosen_rank": f"WITH {BILLS_SQL}, {priors.edges_sql([r for r, _ in PROPOSED])}, {_CANDIDATES}, h AS (SELECT p.doc_id, p.field, c.rank FROM p LEFT JOIN cands c ON p.doc_id = c.doc_id AND p.field = c.field AND {_K.format('c.value')} = {_K.format('p.gold')}) SELECT field, rank, count(*) AS n FROM h GROUP BY 1, 2",
     "joint_decode": f"WITH {BILLS_SQL}, {priors.edges_sql(ALL)}, {_CANDIDATES}, {_joint_sql()}",
     "rescue_merge": f"""WITH {BILLS_SQL}, {_READ}, x AS (SELECT doc_id, field, value AS previous, CASE WHEN doc_id % 13 = 0 THEN 'n/a' WHEN doc_id % 2 = 0 THEN gold || ' 2' ELSE gold END AS answer, doc_id % 8 = 0 AS strong FROM p WHERE field IN ('carrier', 'driver_name', 'consignee')),
 y AS (SELECT *, CASE WHEN answer = 'n/a' OR {_STUB.format('answer')} THEN 'keep' WHEN previous IS NULL THEN 'accept' WHEN {_K.format('previous')} = {_K.format('answer')} THEN 'keep'

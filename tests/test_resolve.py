@@ -33,9 +33,9 @@ def test_no_candidates(spark):
 
 def test_rescue_actions(spark):
     rows = [
-        ("Acme Inc", "Acme, Inc.", ["low_confidence"], False, "keep"), (None, "Acme Inc", None, None, "accept"), ("Acme Inc", "—", ["missing"], False, "keep"),
+        ("Acme Inc", "Acme, Inc.", ["low_confidence"], False, "keep"), (None, "Acme Inc", None, None, "accept"), ("Acme Inc", "—", ["missing_field"], False, "keep"),
         ("Acme Inc", "Borax Co", ["low_confidence"], False, "accept"), ("Acme Inc", "Borax Co", ["low_confidence"], True, "keep_disagreement"),
-        ("Acme Inc", "Borax Co", ["inconsistent"], True, "accept"), ("Acme Inc", "Borax Co", [], False, "keep_disagreement"), ("Acme Inc", None, ["missing"], False, "keep"),
+        ("Acme Inc", "Borax Co", ["inconsistent_with_ticket"], True, "accept"), ("Acme Inc", "Borax Co", [], False, "keep_disagreement"), ("Acme Inc", None, ["missing_field"], False, "keep"),
     ]
     df = spark.createDataFrame([(i, "carrier", *r) for i, r in enumerate(rows)], "doc_id long, field string, previous string, answer string, reasons array<string>, strong boolean, want string")
     assert [(r.doc_id, r.want) for r in rescue.merge(df).orderBy("doc_id").collect()] == [(r.doc_id, r.action) for r in rescue.merge(df).orderBy("doc_id").collect()]
