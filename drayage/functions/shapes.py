@@ -49,6 +49,11 @@ STREET = r"(?i)(.+?\s+(?:st|street|rd|road|ave|avenue|blvd|dr|drive|ln|lane|way|
 ZIP = r"\b(\d{5})(?:-\d{4})?\b"
 
 
+def let(value: Column, fn) -> Column:
+    """``fn`` of ``value``, which is evaluated once however often ``fn`` names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -57,39 +62,45 @@ def letters(c: Column) -> Column:
     return F.regexp_replace(c, "[^A-Za-z]", "")
 
 
-def _empty(c: Column) -> Column:
-    return c.isNull() | (strip(c) == "")
-
-
 def is_label(c: Column) -> Column:
     """A value that is nothing but a form's word; one with a digit is not."""
     return F.when(c.isNull() | (c == ""), True).otherwise(~c.rlike("[0-9]") & F.regexp_replace(F.upper(c), "[^A-Z]", "").isin(LABEL_WORDS))
 
 
-def is_header(c: Column) -> Column:
-    """What a form prints itself, in whole or as a glued header; empty values too."""
-    t = strip(c)
+def _header(t: Column) -> Column:
     own = letters(F.upper(t))
     haul = t.rlike(r"(?i)sub[\s-]*haul") & ~t.rlike(r"(?i)[A-Za-z]{4,}\s+(LLC|INC|CORP)") & (F.length(own) <= 16)
-    return F.when(_empty(c), True).otherwise(is_label(t) | own.rlike("|".join(HEADER_PARTS)) | t.rlike(r"(?i)point\s+of\s+(origin|destination)") | haul)
+    return F.when(t.isNull() | (t == ""), True).otherwise(is_label(t) | own.rlike("|".join(HEADER_PARTS)) | t.rlike(r"(?i)point\s+of\s+(origin|destination)") | haul)
+
+
+def is_header(c: Column) -> Column:
+    """What a form prints itself, in whole or as a glued header; empty values too."""
+    return let(strip(c), _header)
+
+
+def _junk(t: Column) -> Column:
+    def of(words: Column) -> Column:
+        n = F.size(words)
+        return (
+            F.length(letters(t)).between(1, 3) | t.rlike(DATE_BOX) | t.rlike(r"^[A-Z]{2,4}\d+\s+[A-Za-z]")
+            | (n >= 3) & F.forall(words, lambda w: F.length(w) <= 3) | (n >= 1) & t.contains("/") & ~t.rlike(KNOWN_SLASHED)
+            | (n >= 4) & t.rlike(r"\d") & ~t.rlike(PLACE_WORDS) | F.exists(words, lambda w: (F.length(w) <= 7) & w.rlike(CASE_FLIPS))
+        )
+
+    return F.when(t.isNull() | (t == ""), False).otherwise(_header(t) | let(F.regexp_extract_all(t, F.lit("[A-Za-z]+"), F.lit(0)), of))
 
 
 def is_junk(c: Column) -> Column:
     """Glyph salad that no name is made of; an empty value isn't junk."""
-    t = strip(c)
-    words = F.regexp_extract_all(t, F.lit("[A-Za-z]+"), F.lit(0))
-    n = F.size(words)
-    salad = (
-        F.length(letters(t)).between(1, 3) | t.rlike(DATE_BOX) | t.rlike(r"^[A-Z]{2,4}\d+\s+[A-Za-z]")
-        | (n >= 3) & F.forall(words, lambda w: F.length(w) <= 3) | (n >= 1) & t.contains("/") & ~t.rlike(KNOWN_SLASHED)
-        | (n >= 4) & t.rlike(r"\d") & ~t.rlike(PLACE_WORDS) | F.exists(words, lambda w: (F.length(w) <= 7) & w.rlike(CASE_FLIPS))
-    )
-    return F.when(_empty(c), False).otherwise(is_header(c) | salad)
+    return let(strip(c), _junk)
 
 
 def shape_ok(field: str, c: Column) -> Column:
     """Whether a cleaned value looks like its field."""
-    t = strip(c)
+    return let(strip(c), lambda t: _fits(field, t))
+
+
+def _fits(field: str, t: Column) -> Column:
     if field == "bill_date":
         ok = t.rlike(r"^\d{4}-\d{2}-\d{2}$")
     elif field in MONEY_FIELDS:
@@ -103,19 +114,22 @@ def shape_ok(field: str, c: Column) -> Column:
     elif field == "special_instructions":
         ok = F.length(letters(t)) >= 4
     elif field in ("consignor", "consignee", "origin", "destination", "commodity_description", "driver_name"):
-        ok = ~t.rlike("(?i)hours|miles") & ~is_junk(t)
+        ok = ~t.rlike("(?i)hours|miles") & ~_junk(t)
     else:
         ok = F.lit(True)
-    return F.when(_empty(c), False).otherwise(~is_header(c) & ok)
+    return F.when(t.isNull() | (t == ""), False).otherwise(~_header(t) & ok)
 
 
 def harvestable(field: str, c: Column) -> Column:
     """A name good enough to be learned."""
-    t = strip(c)
-    ok = ~is_header(c) & ~is_junk(c) & (F.length(F.regexp_replace(t, r"[^\p{L}]", "")) >= 3) & ~t.rlike(r"[^\p{L}\p{N}_\s.&,'/#-]")
+    return let(strip(c), lambda t: _learned(field, t))
+
+
+def _learned(field: str, t: Column) -> Column:
+    ok = ~_junk(t) & (F.length(F.regexp_replace(t, r"[^\p{L}]", "")) >= 3) & ~t.rlike(r"[^\p{L}\p{N}_\s.&,'/#-]")
     if field in ("driver_name", "driver_signature"):
         ok &= ~t.rlike(r"^\d{3,}$")
-    return F.when(_empty(c), False).otherwise(ok)
+    return F.when(t.isNull() | (t == ""), False).otherwise(ok)
 
 
 def trusted(field: str, c: Column) -> Column:
@@ -150,9 +164,8 @@ def sparse(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """The value without a label before it; null if nothing but a form's print is left."""
-    t = strip(c)
-    rest = strip(F.regexp_replace(t, LABEL_PREFIX, ""))
-    return F.when(~is_header(t) & ~is_header(rest), rest)
+    kept = lambda t: let(strip(F.regexp_replace(t, LABEL_PREFIX, "")), lambda rest: F.when(~_header(t) & ~_header(rest), rest))
+    return let(strip(c), kept)
 
 
 def unglue(c: Column) -> Column:
@@ -172,10 +185,12 @@ def indic_identifier(c: Column) -> Column:
 
 def clean_identifier(c: Column) -> Column:
     """An id without its label; shorter than three only with a digit; ``F3-`` is FB-, ``H3-`` HB-."""
-    bare = strip(F.regexp_replace(clean_text(c), ID_PREFIX, ""))
-    t = indic_identifier(bare)
-    ok = ~is_header(bare) & ((F.length(t) >= 3) | t.rlike(f"[0-9{INDIC_DIGITS}]")) & t.rlike(r"[\p{L}\p{N}]")
-    return F.when(ok, F.regexp_replace(F.regexp_replace(t, "^F3-", "FB-"), "^H3-", "HB-"))
+
+    def of(bare: Column) -> Column:
+        ok = lambda t: ~_header(bare) & ((F.length(t) >= 3) | t.rlike(f"[0-9{INDIC_DIGITS}]")) & t.rlike(r"[\p{L}\p{N}]")
+        return let(indic_identifier(bare), lambda t: F.when(ok(t), F.regexp_replace(F.regexp_replace(t, "^F3-", "FB-"), "^H3-", "HB-")))
+
+    return let(strip(F.regexp_replace(clean_text(c), ID_PREFIX, "")), of)
 
 
 def clean_place(c: Column) -> Column:
@@ -202,8 +217,8 @@ def clean_weight(c: Column) -> Column:
     t = strip(F.regexp_replace(t, r"\s+", " "))
     t = F.regexp_replace(t, r"(\d+)\.(\d{3})(?=[a-zA-Z\s]|$)", "$1,$2")
     t = F.regexp_replace(t, r"(?i)(\d+(?:,\d{3})*(?:\.\d+)?)\s*(?:lbs|los|1os|Ibs|Ib)\b", "$1 lbs")
-    n = F.regexp_extract(t, r"(\d{1,3}(?:,\d{3})*(?:\.\d+)?|\d+\.\d+)", 1)
-    return F.when(n != "", F.concat(n, F.when(t.rlike(r"(?i)\blbs\b"), " lbs").otherwise("")))
+    number = lambda t: F.nullif(F.regexp_extract(t, r"(\d{1,3}(?:,\d{3})*(?:\.\d+)?|\d+\.\d+)", 1), F.lit(""))
+    return let(t, lambda t: F.concat(number(t), F.when(t.rlike(r"(?i)\blbs\b"), " lbs").otherwise("")))
 
 
 def _iso(y: Column, m: Column, d: Column) -> Column:
@@ -242,29 +257,35 @@ def boxed_date(c: Column) -> Column:
 
 def clean_date(c: Column) -> Column:
     """ISO date: of numbers with slashes, dots or dashes, else year first, else from boxes; one that is no day falls to the next."""
-    t = strip(c)
+    return let(strip(c), _date)
+
+
+def _date(t: Column) -> Column:
     a, b, y = (F.regexp_extract(t, r"\b(\d{1,2})[/.-](\d{1,2})[/.-](\d{2,4})\b", i).try_cast("int") for i in (1, 2, 3))
     slash = F.when(a > 12, _iso(y, b, a)).when(b > 12, _iso(y, a, b)).otherwise(_iso(y, a, b))
     p, q, r = (F.regexp_extract(t, r"\b(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})\b", i) for i in (1, 2, 3))
     boxes = _iso(F.regexp_extract(t, _YR, 1), F.regexp_extract(t, _MO, 1), F.regexp_extract(t, _DAY, 1))
-    return F.when(~is_header(t) & ~t.rlike(r"^\d{1,2}$"), F.coalesce(slash, _iso(p, q, r), boxes, boxed_date(t)))
+    return F.when(~_header(t) & ~t.rlike(r"^\d{1,2}$"), F.coalesce(slash, _iso(p, q, r), boxes, boxed_date(t)))
 
 
 def compact_clock(c: Column) -> Column:
     """930 as 9:30, from all digits of the value; hours up to 23, minutes up to 59, not 0:00."""
-    d = F.regexp_replace(c, r"\D", "")
-    h, m = (F.regexp_extract(d, r"^(\d{1,2})(\d{2})$", i).try_cast("int") for i in (1, 2))
-    return F.when((h <= 23) & (m <= 59) & (h + m > 0), F.format_string("%d:%02d", h, m))
+    part = lambda d, i: F.regexp_extract(d, r"^(\d{1,2})(\d{2})$", i).try_cast("int")
+    clock = lambda h, m: F.when((h <= 23) & (m <= 59) & (h + m > 0), F.format_string("%d:%02d", h, m))
+    return let(F.regexp_replace(c, r"\D", ""), lambda d: let(F.struct(part(d, 1).alias("h"), part(d, 2).alias("m")), lambda x: clock(x["h"], x["m"])))
 
 
 def clean_clock(c: Column) -> Column:
     """H:MM with the AM or PM that follows somewhere, not converted; else a compact clock."""
-    t = strip(c)
+    return let(strip(c), _clock)
+
+
+def _clock(t: Column) -> Column:
     part = lambda i: F.regexp_extract(t, r"\b(\d{1,2}):(\d{2})\b", i).try_cast("int")
     behind = F.regexp_extract(t, r"(?s)\b\d{1,2}:\d{2}\b(.*)$", 1)
     half = F.upper(F.regexp_replace(F.regexp_extract(behind, r"([AaPp]\.?\s*[Mm]\.?)", 1), r"[\s.]", ""))
     at = F.when((part(1) <= 23) & (part(2) <= 59), F.concat(F.format_string("%d:%02d", part(1), part(2)), F.when(half != "", F.concat(F.lit(" "), half)).otherwise("")))
-    return F.when(~is_header(t), F.coalesce(at, compact_clock(t)))
+    return F.when(~_header(t), F.coalesce(at, compact_clock(t)))
 
 
 def clocks(line: Column) -> Column:

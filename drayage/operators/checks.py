@@ -32,14 +32,14 @@ def normalize(raw: DataFrame) -> DataFrame:
         elif f == "weight":
             new = S.clean_weight(c)
         elif f in ("origin", "destination"):
-            new = F.when(~S.is_junk(S.clean_place(c)), S.clean_place(c))
+            new = S.let(S.clean_place(c), lambda t: F.when(~S.is_junk(t), t))
         elif f in ("consignor", "consignee", "carrier", "commodity_description", "driver_name"):
-            t = S.unglue(S.clean_text(c))
-            new = F.when(~S.is_junk(t) & (~t.rlike("(?i)hours|miles|payroll") if f == "driver_name" else F.lit(True)), t)
+            odd = "(?i)hours|miles|payroll" if f == "driver_name" else "x^"
+            new = _named(c, odd)
         elif f in ("pickup_time", "delivery_time"):
             new = S.clean_clock(c)
         elif f == "special_instructions":
-            new = F.when(F.length(S.letters(S.clean_text(c))) >= 4, S.clean_text(c))
+            new = S.let(S.clean_text(c), lambda t: F.when(F.length(S.letters(t)) >= 4, t))
         else:
             new = S.clean_text(c)
         out[f] = new
@@ -50,6 +50,10 @@ def normalize(raw: DataFrame) -> DataFrame:
     return df
 
 
+def _named(c: Column, odd: str) -> Column:
+    return S.let(S.unglue(S.clean_text(c)), lambda t: F.when(~S.is_junk(t) & ~t.rlike(odd), t))
+
+
 def clean_items(items: Column) -> Column:
     """Line items with a description or a load, their values in form; those without a number take their place."""
     loads = ("weight", "load_arrive", "load_depart", "unload_arrive", "unload_depart", "tag")
@@ -71,17 +75,17 @@ def confidences(df: DataFrame, fields: list[str], reviewed: str = "reviewed") ->
     """``df`` with ``field_confidence`` (map) and ``overall``: the mean of what is positive, of two decimals."""
     conf = {f: S.confidence(f, F.col(f), F.col(reviewed)) for f in fields}
     # hundredths, so that the mean doesn't depend on their order
-    cents = F.array(*[F.round(c * 100).cast("int") for c in conf.values()])
-    above = F.filter(cents, lambda x: x > 0)
-    mean = F.when(F.size(above) > 0, F.floor((2 * F.aggregate(above, F.lit(0), lambda a, x: a + x) + F.size(above)) / (2 * F.size(above))) / 100).otherwise(0.0)
-    return df.withColumns({"field_confidence": F.create_map(*[x for f, c in conf.items() for x in (F.lit(f), c)]), "overall": mean})
+    above = F.filter(F.transform(F.map_values("field_confidence"), lambda c: F.round(c * 100).cast("int")), lambda x: x > 0)
+    mean = lambda xs: F.when(F.size(xs) > 0, F.floor((2 * F.aggregate(xs, F.lit(0), lambda a, x: a + x) + F.size(xs)) / (2 * F.size(xs))) / 100).otherwise(0.0)
+    return df.withColumn("field_confidence", F.create_map(*[x for f, c in conf.items() for x in (F.lit(f), c)])).withColumn("overall", S.let(above, mean))
 
 
 def validate(df: DataFrame) -> DataFrame:
     """``df`` (critical fields, overall, reviewed, line_sum) with ``missing``, ``warnings`` and ``status``."""
     missing = F.array_compact(F.array(*[F.when(S.is_header(F.col(f)), f) for f in S.CRITICAL]))
-    freight, total = S.amount(F.col("freight_amount")), S.amount(F.col("total_amount"))
-    df = df.withColumn("missing", missing)
+    kept = df.columns
+    df = df.withColumns({"missing": missing, "__freight": S.amount(F.col("freight_amount")), "__total": S.amount(F.col("total_amount"))})
+    freight, total = F.col("__freight"), F.col("__total")
     warnings = F.array_compact(F.array(
         F.when(F.size("missing") > 0, F.concat(F.lit("Missing critical field(s): "), F.array_join("missing", ", "))),
         F.when(F.col("overall") < LEAST_OVERALL, F.concat(F.lit("Low overall confidence ("), F.format_string("%.1f", F.col("overall") * 100), F.lit("%)"))),
@@ -92,7 +96,8 @@ def validate(df: DataFrame) -> DataFrame:
     blocking = F.size(F.array_except("missing", F.array(*map(F.lit, S.OPTIONAL_WHEN_REVIEWED))))
     done = F.coalesce(F.col("reviewed"), F.lit(False)) & (blocking == 0)
     df = df.withColumn("status", F.when(done | (F.size("warnings") == 0), "COMPLETED").otherwise("REVIEW"))
-    return df.withColumn("overall", F.when(done, F.greatest("overall", F.lit(REVIEWED_OVERALL))).otherwise(F.col("overall")))
+    overall = F.when(done, F.greatest("overall", F.lit(REVIEWED_OVERALL))).otherwise(F.col("overall"))
+    return df.withColumn("overall", overall).select(*kept, "missing", "warnings", "status")
 
 
 def _one(ok: Column, code: str, severity: str, fields: list[str]) -> Column:

@@ -1,39 +1,15 @@
-"""Queries that check bills against themselves and each other, and route them."""
+"""Queries that check line items, and order what is to be asked again."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from drayage.functions.exprs import collapse
 from drayage.operators.bills import BILLS_SQL, bills, table
 
 TOLERANCE = 0.05
 
 
-def _findings():
-    """Codes that fire, in their order."""
-    return F.array_compact(F.array(
-        F.when(collapse(F.col("consignor")) == collapse(F.col("consignee")), "CONSIGNOR_EQUALS_CONSIGNEE"),
-        F.when(F.col("line_sum") > F.col("total"), "FREIGHT_EXCEEDS_TOTAL"),
-        F.when(F.abs(F.col("line_sum") - F.col("total")) > TOLERANCE * F.col("total"), "LINE_ITEM_SUM_MISMATCH"),
-        F.when((F.col("total") < 0) | (F.col("weight") < 0), "NEGATIVE_VALUE"),
-        F.when(F.col("origin") != F.col("destination"), "ORIGIN_DESTINATION_STATE_MISMATCH"),
-        F.when(F.col("origin") == F.col("destination"), "DESTINATION_COPIED_FROM_ORIGIN"),
-    ))
-
-
-def consistency(spark, d):
-    return bills(spark, d).select("doc_id", F.array_join(_findings(), ",").alias("codes"), F.size(_findings()).alias("n"))
-
-
-def review_routing(spark, d):
-    """Bills by status and reason: reviewed bills are complete, others only without a blocking finding."""
-    b = bills(spark, d).withColumn("codes", F.filter(_findings(), lambda c: c.isin("CONSIGNOR_EQUALS_CONSIGNEE", "FREIGHT_EXCEEDS_TOTAL", "NEGATIVE_VALUE", "DESTINATION_COPIED_FROM_ORIGIN")))
-    status = F.when(F.col("reviewed") | (F.size("codes") == 0), "COMPLETED").otherwise("REVIEW")
-    return b.select(status.alias("status"), F.array_join("codes", ",").alias("reasons")).groupBy("status", "reasons").agg(F.count("*").alias("n"))
-
-
 def line_item_arithmetic(spark, d):
     """Items whose quantity times rate is off their amount, by bill."""
     li = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
@@ -46,18 +22,6 @@ def duplicate_tags(spark, d):
     return li.groupBy("l_orderkey", F.col("l_partkey").alias("tag")).agg(F.count("*").alias("times")).where("times > 1")
 
 
-def peer_duplicate_tags(spark, d):
-    """Another bill of the same consignee and date with the same tag; the least such bill."""
-    b = bills(spark, d).select("doc_id", collapse(F.col("consignee")).alias("k"), "bill_date")
-    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("tag")).distinct()
-    x = b.join(t, "doc_id")
-    # two least holders of a key answer for all of them: no pairs are made
-    w = Window.partitionBy("k", "bill_date", "tag").orderBy("doc_id")
-    x = x.withColumns({"first": F.min("doc_id").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "second": F.nth_value("doc_id", 2).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    peer = F.when(F.col("doc_id") == F.col("first"), F.col("second")).otherwise(F.col("first"))
-    return x.withColumn("peer", peer).where("peer IS NOT NULL").groupBy("doc_id").agg(F.min("peer").alias("peer"))
-
-
 def rescue_priority(spark, d):
     """Up to eight fields of a bill that are to be asked for again: missing first, then what fails checks."""
     b = bills(spark, d)
@@ -76,23 +40,10 @@ def layout_histogram(spark, d):
     return li.groupBy("col", "row").agg(F.count("*").alias("items")).where("items >= 3")
 
 
-QUERIES = {f.__name__: f for f in (consistency, review_routing, line_item_arithmetic, duplicate_tags, peer_duplicate_tags, rescue_priority, layout_histogram)}
-_KEY = "regexp_replace(lower({}), '[^a-z0-9&]+', '', 'g')"
-_CODES = f"""list_filter([
-  CASE WHEN {_KEY.format('consignor')} = {_KEY.format('consignee')} THEN 'CONSIGNOR_EQUALS_CONSIGNEE' END,
-  CASE WHEN line_sum > total THEN 'FREIGHT_EXCEEDS_TOTAL' END,
-  CASE WHEN abs(line_sum - total) > 0.05 * total THEN 'LINE_ITEM_SUM_MISMATCH' END,
-  CASE WHEN total < 0 OR weight < 0 THEN 'NEGATIVE_VALUE' END,
-  CASE WHEN origin <> destination THEN 'ORIGIN_DESTINATION_STATE_MISMATCH' END,
-  CASE WHEN origin = destination THEN 'DESTINATION_COPIED_FROM_ORIGIN' END], lambda x: x IS NOT NULL)"""
+QUERIES = {f.__name__: f for f in (line_item_arithmetic, duplicate_tags, rescue_priority, layout_histogram)}
 ORACLES = {
-    "consistency": f"WITH {BILLS_SQL}, c AS (SELECT doc_id, {_CODES} AS codes FROM bills) SELECT doc_id, array_to_string(codes, ',') AS codes, CAST(len(codes) AS INTEGER) AS n FROM c",
-    "review_routing": f"""WITH {BILLS_SQL}, c AS (SELECT reviewed, list_filter({_CODES}, lambda x: x NOT IN ('LINE_ITEM_SUM_MISMATCH', 'ORIGIN_DESTINATION_STATE_MISMATCH')) AS codes FROM bills)
-SELECT CASE WHEN reviewed OR len(codes) = 0 THEN 'COMPLETED' ELSE 'REVIEW' END AS status, array_to_string(codes, ',') AS reasons, count(*) AS n FROM c GROUP BY 1, 2""",
     "line_item_arithmetic": "SELECT l_orderkey, count(*) AS items, count(*) FILTER (abs(l_quantity * p_retailprice - l_extendedprice) > 0.05) AS off FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey",
     "duplicate_tags": "SELECT l_orderkey, l_partkey AS tag, count(*) AS times FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
-    "peer_duplicate_tags": f"""WITH {BILLS_SQL}, x AS (SELECT DISTINCT doc_id, {_KEY.format('consignee')} AS k, bill_date, l_partkey AS tag FROM bills JOIN lineitem ON doc_id = l_orderkey)
-SELECT a.doc_id, min(b.doc_id) AS peer FROM x a JOIN x b USING (k, bill_date, tag) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id""",
     "rescue_priority": f"""WITH {BILLS_SQL}, s AS (
   SELECT doc_id, 0 AS ord, 'total' AS field, CASE WHEN line_sum > total THEN 4 ELSE 0 END AS priority FROM bills UNION ALL
   SELECT doc_id, 1, 'weight', CASE WHEN weight > 150 THEN 4 ELSE 0 END FROM bills UNION ALL

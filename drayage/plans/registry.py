@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from drayage.plans import catalog, checks, cleaning, learning, resolving, values
+from drayage.plans import catalog, checks, cleaning, learning, resolving, tickets, values
 
 QUERIES = {}
 ORACLES = {}
-for _part in (catalog, cleaning, checks, learning, resolving, values):
+for _part in (catalog, cleaning, checks, learning, resolving, tickets, values):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
