@@ -1,8 +1,4 @@
-"""Native column expressions for values on freight bills.
-
-A value that can't be read is null, never an error: casts are ``try_cast`` and
-dates ``try_to_timestamp``, as the session runs in ANSI mode.
-"""
+"""Keys of values on freight bills, and what counts as missing. Cleaners and tests are in ``shapes``."""
 
 from __future__ import annotations
 
@@ -17,7 +13,6 @@ MISSING = {
 }
 # Devanagari digits, and the letters that glyph repair reads as digits.
 INDIC_DIGITS = "०१२३४५६७८९"
-COMPANY = r"(?i)\b(INC|LLC|CORP|LTD|CO)\b"
 
 
 def is_missing(c: Column, policy: str = "calibration") -> Column:
@@ -46,64 +41,6 @@ def glyph_repair(c: Column) -> Column:
     return F.translate(c, marks, "0152")
 
 
-def money(c: Column) -> Column:
-    """First amount as $#,##0.00 without its sign; ``1.234`` is a thousand; otherwise null."""
-    c = F.regexp_replace(c, r"\b(\d{1,3})\.(\d{3})\b", "$1,$2")
-    n = F.replace(F.regexp_extract(c, r"([\d,]+(?:\.\d+)?)", 1), F.lit(","), F.lit("")).try_cast("double")
-    return F.concat(F.lit("$"), F.format_number(n, 2))
-
-
-def signed_number(c: Column) -> Column:
-    """Number with sign, currency mark and parentheses for minus; otherwise null."""
-    n = F.replace(F.regexp_extract(c, r"([\d,]*\d(?:\.\d+)?)", 1), F.lit(","), F.lit("")).try_cast("double")
-    return F.when(c.rlike(r"^\s*(\(.*\)|[$€£₹]?\s*-)"), -n).otherwise(n)
-
-
-def weight(c: Column) -> Column:
-    c = F.regexp_replace(c, r"\s*\d{1,2}:\d{2}\b", "")
-    c = F.regexp_replace(c, r"(?<!\d)(\d{1,3})\.(\d{3})(?!\d)", "$1,$2")
-    c = F.regexp_replace(c, r"(?i)\s*(?:pounds|lbs|ibs|los|lb)\b\.?", " lbs")
-    return F.when(c.rlike(r"\d"), F.regexp_extract(c, r"([\d,]+(?:\.\d+)?(?: lbs)?)", 1))
-
-
-def date(c: Column) -> Column:
-    """ISO date of the first d/m/y, m/d/y or y-m-d that is one; two-digit years are of this century."""
-    a, b, y = (F.regexp_extract(c, r"\b(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4}|\d{2})\b", i).try_cast("int") for i in (1, 2, 3))
-    y = F.when(y < 100, y + 2000).otherwise(y)
-    iso = lambda y, m, d: F.date_format(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, m, d), F.lit("yyyy-MM-dd")), "yyyy-MM-dd")
-    first = F.when(a > 12, iso(y, b, a)).otherwise(iso(y, a, b))
-    p, q, r = (F.regexp_extract(c, r"\b(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})\b", i).try_cast("int") for i in (1, 2, 3))
-    return F.coalesce(F.when(a.isNotNull(), first), F.when(p.isNotNull(), iso(p, q, r)))
-
-
-def compact_clock(c: Column) -> Column:
-    """930 as 9:30; hours up to 23, minutes up to 59, not 0:00."""
-    h, m = (F.regexp_extract(c, r"^(\d{1,2})(\d{2})$", i).try_cast("int") for i in (1, 2))
-    return F.when((h <= 23) & (m <= 59) & (h + m > 0), F.format_string("%d:%02d", h, m))
-
-
-def clock(c: Column) -> Column:
-    """H:MM with its AM or PM, not converted; else a compact clock."""
-    at = r"(?i)\b(\d{1,2}:\d{2})\s*(AM|PM)?\b"
-    return F.when(c.rlike(at), F.rtrim(F.concat_ws(" ", F.regexp_extract(c, at, 1), F.upper(F.regexp_extract(c, at, 2))))).otherwise(compact_clock(F.trim(c)))
-
-
-def place_spacing(c: Column) -> Column:
-    """``Columbus,OH`` as ``Columbus, OH``."""
-    return F.regexp_replace(c, r",(\S)", ", $1")
-
-
-def identifier(c: Column) -> Column:
-    """Id without its label; shorter than three only if all digits; ``F3-`` is FB-, ``H3-`` HB-."""
-    c = F.trim(F.regexp_replace(indic_digits(c), r"(?i)^\s*(?:bill|vehicle|invoice|ticket)?\s*(?:no|number|#)\s*[.:#]*\s*", ""))
-    c = F.regexp_replace(F.regexp_replace(c, "^F3-", "FB-"), "^H3-", "HB-")
-    return F.when((F.length(c) >= 3) | c.rlike("^[0-9]+$"), c)
-
-
 def letters_only_stub(c: Column) -> Column:
     """Too short to be a name: three letters at most."""
     return F.length(F.regexp_replace(c, "[^A-Za-z]", "")) <= 3
-
-
-def company(c: Column) -> Column:
-    return c.rlike(COMPANY)

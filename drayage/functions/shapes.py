@@ -1,7 +1,9 @@
 """Tests and cleaners of field values: what is a form's own print, junk, a name, a place; and typed clean-up.
 
 All are native columns. A test of a null value says what an empty one says. White
-space at the ends counts for nothing.
+space at the ends counts for nothing. A value that can't be read is null, never an
+error: casts are ``try_cast`` and dates ``try_to_timestamp``, as the session runs in
+ANSI mode.
 """
 
 from __future__ import annotations

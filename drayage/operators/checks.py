@@ -88,7 +88,7 @@ def validate(df: DataFrame) -> DataFrame:
     freight, total = F.col("__freight"), F.col("__total")
     warnings = F.array_compact(F.array(
         F.when(F.size("missing") > 0, F.concat(F.lit("Missing critical field(s): "), F.array_join("missing", ", "))),
-        F.when(F.col("overall") < LEAST_OVERALL, F.concat(F.lit("Low overall confidence ("), F.format_string("%.1f", F.col("overall") * 100), F.lit("%)"))),
+        F.when(F.col("overall") < LEAST_OVERALL, F.concat(F.lit("Low overall confidence ("), F.format_number(F.col("overall") * 100, 1), F.lit("%)"))),
         F.when(freight > total, F.concat(F.lit("Freight amount ($"), F.format_number(freight, 2), F.lit(") exceeds Total amount ($"), F.format_number(total, 2), F.lit(")"))),
         F.when((F.col("line_sum") > 0) & (F.abs(F.col("line_sum") - total) > TOLERANCE), F.concat(F.lit("Line item sum ($"), F.format_number("line_sum", 2), F.lit(") mismatches total amount ($"), F.format_number(total, 2), F.lit(")"))),
     ))

@@ -135,7 +135,7 @@ def calibration_status(fields: DataFrame) -> DataFrame:
     status = F.when(empty, "empty_field").when(F.col("reviewed"), "reviewed_gold").when(F.col("calibrated").isNotNull(), "calibrated").otherwise("fallback_insufficient_data")
     f = fields.select("doc_id", "field", status.alias("status"), F.round(F.when(empty, 0.0).when(F.col("reviewed"), 1.0).otherwise(F.coalesce("calibrated", "raw")), 4).alias("confidence"), S.threshold(F.col("field")).alias("threshold"))
     post = (F.col("status") != "empty_field") & (F.col("confidence") >= F.col("threshold"))
-    text = F.concat(F.lit("Low calibrated confidence for "), F.col("field"), F.lit(" ("), F.format_string("%.2f", "confidence"), F.lit(" < "), F.format_string("%.2f", "threshold"), F.lit(")"))
+    text = F.concat(F.lit("Low calibrated confidence for "), F.col("field"), F.lit(" ("), F.format_number("confidence", 2), F.lit(" < "), F.format_number("threshold", 2), F.lit(")"))
     return f.withColumn("auto_post", post).withColumn("warning", F.when((F.col("status") == "calibrated") & ~post, text))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from drayage.functions import shapes as S
 from drayage.functions.exprs import collapse, is_missing, letters_only_stub
 
 # Reasons to ask again.
@@ -27,7 +28,7 @@ def action(previous: Column, answer: Column, reasons: Column, strong: Column, us
 
 def merge(plan: DataFrame) -> DataFrame:
     """``plan`` (doc_id, field, previous, answer, reasons, strong) with ``action`` and the merged ``value``."""
-    usable = ~is_missing(F.col("answer"), "rescue") & ~letters_only_stub(F.col("answer"))
+    usable = ~is_missing(F.col("answer"), "rescue") & ~S.is_header(F.col("answer")) & ~S.is_junk(F.col("answer"))
     reasons, strong = F.coalesce("reasons", F.array().cast("array<string>")), F.coalesce("strong", F.lit(False))
     out = plan.withColumn("action", action(F.col("previous"), F.col("answer"), reasons, strong, usable))
     return out.withColumn("value", F.when(F.col("action") == "accept", F.col("answer")).otherwise(F.col("previous")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from drayage.functions import exprs as X
+from drayage.functions import shapes as S
 from drayage.operators.bills import BILLS_SQL, bills, long, table
 
 
@@ -17,11 +18,11 @@ def extract_labels(spark, d):
     """Labelled lines read back from the text of a bill."""
     b = bills(spark, d).withColumn("raw_text", _text(None))
     get = lambda label: F.nullif(F.regexp_extract("raw_text", rf"(?im)^{label}\s*:\s*(.+)$", 1), F.lit(""))
-    return b.select("doc_id", get("Bill No").alias("bill_number"), X.date(get("Date")).alias("bill_date"), get("Consignor").alias("consignor"), get("Consignee").alias("consignee"), X.money(get("Total")).alias("total"), X.weight(get("Weight")).alias("weight"))
+    return b.select("doc_id", get("Bill No").alias("bill_number"), S.clean_date(get("Date")).alias("bill_date"), get("Consignor").alias("consignor"), get("Consignee").alias("consignee"), S.clean_money(get("Total")).alias("total"), S.clean_weight(get("Weight")).alias("weight"))
 
 
 def normalize_money(spark, d):
-    return bills(spark, d).select("doc_id", X.money(F.format_number("total", 2)).alias("total_text"), X.signed_number(F.concat(F.lit("("), F.format_number("total", 2), F.lit(")"))).alias("negative"))
+    return bills(spark, d).select("doc_id", S.clean_money(F.format_number("total", 2)).alias("total_text"), S.signed(F.concat(F.lit("("), F.format_number("total", 2), F.lit(")"))).alias("negative"))
 
 
 def collapse_key(spark, d):
@@ -30,15 +31,15 @@ def collapse_key(spark, d):
 
 def normalize_clock(spark, d):
     e = table(spark, d, "events").select("event_id", F.date_format("ts", "Hmm").alias("compact"))
-    return e.select("event_id", X.clock(F.col("compact")).alias("clock"))
+    return e.select("event_id", S.clean_clock(F.col("compact")).alias("clock"))
 
 
 def location_spacing(spark, d):
-    return bills(spark, d).select("doc_id", X.place_spacing(F.concat("origin", F.lit(","), F.substring("destination", 1, 2))).alias("place"))
+    return bills(spark, d).select("doc_id", S.clean_place(F.concat("carrier", F.lit(","), F.substring("destination", 1, 2))).alias("place"))
 
 
 def identifiers(spark, d):
-    return bills(spark, d).select("doc_id", X.identifier(F.concat(F.lit("Bill No: "), F.translate("bill_number", "0123456789", X.INDIC_DIGITS))).alias("bill_number"))
+    return bills(spark, d).select("doc_id", S.clean_identifier(F.concat(F.lit("Bill No: "), F.translate("bill_number", "0123456789", X.INDIC_DIGITS))).alias("bill_number"))
 
 
 def field_confidence(spark, d):
@@ -54,7 +55,7 @@ ORACLES = {
     "normalize_money": f"WITH {BILLS_SQL} SELECT doc_id, format('${{:,.2f}}', total) AS total_text, -CAST(replace(format('{{:,.2f}}', total), ',', '') AS DOUBLE) AS negative FROM bills",
     "collapse_key": f"WITH {BILLS_SQL} SELECT regexp_replace(lower(consignee), '[^a-z0-9&]+', '', 'g') AS entity_key, regexp_replace(lower(consignor || ' & Co'), '[^a-z0-9]+', '', 'g') AS party_key, count(*) AS n FROM bills GROUP BY 1, 2",
     "normalize_clock": "SELECT event_id, CASE WHEN hour(ts) + minute(ts) > 0 AND (hour(ts) > 0 OR TRUE) THEN hour(ts) || ':' || lpad(CAST(minute(ts) AS VARCHAR), 2, '0') END AS clock FROM events",
-    "location_spacing": f"WITH {BILLS_SQL} SELECT doc_id, origin || ', ' || substr(destination, 1, 2) AS place FROM bills",
+    "location_spacing": f"WITH {BILLS_SQL} SELECT doc_id, carrier || ', ' || substr(destination, 1, 2) AS place FROM bills",
     "identifiers": f"WITH {BILLS_SQL} SELECT doc_id, bill_number FROM bills",
     "field_confidence": f"""WITH {BILLS_SQL}, f AS (SELECT doc_id, unnest([carrier, consignor, consignee, driver_name, origin, destination]) AS value FROM bills),
 c AS (SELECT doc_id, CASE WHEN value IS NULL OR lower(trim(value)) IN ('', 'none', 'null', 'n/a', 'unknown') OR length(regexp_replace(value, '[^A-Za-z]', '', 'g')) <= 3 THEN 0.0 ELSE 0.85 END AS conf FROM f)

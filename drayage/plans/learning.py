@@ -32,20 +32,6 @@ def prior_unigrams(spark, d):
     return u.where("key <> ''")
 
 
-def peaked_fill(spark, d):
-    """Carrier for a bill of known route, where history is peaked: count and share are high."""
-    top = priors.edges(_reviewed(spark, d), [("origin", "destination", "carrier")]).where("rank = 1 AND cnt >= 3 AND prob >= 0.3")
-    b = bills(spark, d).where("NOT reviewed").select("doc_id", F.concat_ws("|", collapse(F.col("origin")), collapse(F.col("destination"))).alias("given_key"))
-    return b.join(top, "given_key").select("doc_id", F.col("target").alias("carrier"), "cnt", "prob")
-
-
-def historical_conflict(spark, d):
-    """Bills whose carrier is not the one that their consignee's history has most."""
-    top = priors.edges(_reviewed(spark, d), [("consignee", "carrier")]).where("rank = 1 AND prob >= 0.7").select("given_key", "target", "cnt")
-    b = bills(spark, d).select("doc_id", collapse(F.col("consignee")).alias("given_key"), "carrier")
-    return b.join(top, "given_key").where(collapse(F.col("carrier")) != collapse(F.col("target"))).select("doc_id", "carrier", F.col("target").alias("usual"), "cnt")
-
-
 def text_mentions(spark, d):
     """Part names that a longer name of another part holds, as text."""
     k = table(spark, d, "part").select(collapse(F.col("p_name")).alias("k")).distinct()
@@ -107,7 +93,7 @@ def stp_report(spark, d):
     return bills(spark, d).cube("carrier", "reviewed").agg(F.count("*").alias("n"), F.sum("n_lines").alias("lines"))
 
 
-QUERIES = {f.__name__: f for f in (prior_unigrams, prior_pairs, prior_triples, prior_full, peaked_fill, historical_conflict, text_mentions, fuzzy_top1, calibration_labels, isotonic_fit, eval_field_metrics, eval_bill_metrics, review_diff_aliases, stp_report)}
+QUERIES = {f.__name__: f for f in (prior_unigrams, prior_pairs, prior_triples, prior_full, text_mentions, fuzzy_top1, calibration_labels, isotonic_fit, eval_field_metrics, eval_bill_metrics, review_diff_aliases, stp_report)}
 _K = "regexp_replace(lower({}), '[^a-z0-9&]+', '', 'g')"
 _EDGES = "SELECT relation, given_key, target, cnt, prob, rank FROM edges"
 _PRED = f"""WITH {BILLS_SQL}, f AS (UNPIVOT (SELECT doc_id, carrier, consignor, consignee, driver_name, origin, destination FROM bills) ON carrier, consignor, consignee, driver_name, origin, destination INTO NAME field VALUE value),
@@ -118,8 +104,6 @@ ORACLES = {
     "prior_triples": f"WITH {BILLS_SQL}, {priors.edges_sql(priors.TRIPLES)} {_EDGES}",
     "prior_full": f"WITH {BILLS_SQL}, {priors.edges_sql(priors.FULL)} {_EDGES}",
     "prior_unigrams": f"WITH {BILLS_SQL}, f AS (UNPIVOT (SELECT carrier, consignor, consignee, driver_name, origin, destination FROM bills WHERE reviewed) ON carrier, consignor, consignee, driver_name, origin, destination INTO NAME field VALUE value) SELECT field, {_K.format('value')} AS key, min(value) AS value, count(*) AS cnt FROM f GROUP BY 1, 2",
-    "peaked_fill": f"WITH {BILLS_SQL}, {priors.edges_sql([('origin', 'destination', 'carrier')])} SELECT doc_id, target AS carrier, cnt, prob FROM bills JOIN edges ON NOT reviewed AND given_key = concat_ws('|', {_K.format('origin')}, {_K.format('destination')}) AND rank = 1 AND cnt >= 3 AND prob >= 0.3",
-    "historical_conflict": f"WITH {BILLS_SQL}, {priors.edges_sql([('consignee', 'carrier')])} SELECT doc_id, carrier, target AS usual, cnt FROM bills JOIN edges ON given_key = {_K.format('consignee')} AND rank = 1 AND prob >= 0.7 AND {_K.format('carrier')} <> {_K.format('target')}",
     "text_mentions": f"""WITH n AS (SELECT DISTINCT {_K.format('p_name')} AS k FROM part), w AS (SELECT word, count(*) AS parts FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS word FROM part) WHERE length(word) >= 5 GROUP BY word)
 SELECT word, parts, count(*) AS names FROM w JOIN n ON contains(k, word) GROUP BY 1, 2""",
     "calibration_labels": "SELECT source AS field, count(*) AS n, count(*) FILTER (quality = 1) AS positives, count(*) FILTER (quality = 0) AS negatives, count(*) >= 20 AND count(*) FILTER (quality = 1) >= 3 AND count(*) FILTER (quality = 0) >= 3 AS can_fit FROM labels JOIN documents USING (doc_id) GROUP BY source",
