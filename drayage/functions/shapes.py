@@ -70,9 +70,9 @@ def is_label(c: Column) -> Column:
 
 
 def _header(t: Column) -> Column:
-    own = letters(F.upper(t))
-    haul = t.rlike(r"(?i)sub[\s-]*haul") & ~t.rlike(r"(?i)[A-Za-z]{4,}\s+(LLC|INC|CORP)") & (F.length(own) <= 16)
-    return F.when(t.isNull() | (t == ""), True).otherwise(is_label(t) | own.rlike("|".join(HEADER_PARTS)) | t.rlike(r"(?i)point\s+of\s+(origin|destination)") | haul)
+    # spelled-out points of origin and sub-hauls have their letters among the parts
+    of = lambda own: ~t.rlike("[0-9]") & own.isin(LABEL_WORDS) | own.rlike("|".join(HEADER_PARTS))
+    return F.when(t.isNull() | (t == ""), True).otherwise(let(F.regexp_replace(F.upper(t), "[^A-Z]+", ""), of))
 
 
 def is_header(c: Column) -> Column:
@@ -117,6 +117,7 @@ def _fits(field: str, t: Column) -> Column:
         ok = F.length(letters(t)) >= 4
     elif field in ("consignor", "consignee", "origin", "destination", "commodity_description", "driver_name"):
         ok = ~t.rlike("(?i)hours|miles") & ~_junk(t)
+        return F.when(t.isNull() | (t == ""), False).otherwise(ok)  # junk has headers among it
     else:
         ok = F.lit(True)
     return F.when(t.isNull() | (t == ""), False).otherwise(~_header(t) & ok)
@@ -166,7 +167,7 @@ def sparse(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """The value without a label before it; null if nothing but a form's print is left."""
-    kept = lambda t: let(strip(F.regexp_replace(t, LABEL_PREFIX, "")), lambda rest: F.when(~_header(t) & ~_header(rest), rest))
+    kept = lambda t: let(strip(F.regexp_replace(t, LABEL_PREFIX, "")), lambda rest: F.when(~_header(rest) & ((rest == t) | ~_header(t)), rest))
     return let(strip(c), kept)
 
 
@@ -353,7 +354,10 @@ def download_name(c: Column) -> Column:
 
 def signed(c: Column) -> Column:
     """First number with the sign, mark of currency or parentheses that make it negative; else null."""
-    t = strip(c)
-    form = r"(?i)(-)?\s*(?:US\$|\$|₹|€|£)?\s*([\d,]+(?:\.\d+)?)"
-    n = F.regexp_replace(F.regexp_extract(t, form, 2), ",", "").try_cast("double")
-    return F.when(t.startswith("(") & t.endswith(")") | (F.regexp_extract(t, form, 1) == "-"), -F.abs(n)).otherwise(n)
+    form = r"(?i)-?\s*(?:US\$|\$|₹|€|£)?\s*[\d,]+(?:\.\d+)?"
+
+    def of(x: Column) -> Column:
+        n = F.regexp_replace(x["m"], "[^0-9.]+", "").try_cast("double")
+        return F.when(x["m"].startswith("-") | x["t"].startswith("(") & x["t"].endswith(")"), -n).otherwise(n)
+
+    return let(strip(c), lambda t: let(F.struct(t.alias("t"), F.regexp_extract(t, form, 0).alias("m")), of))

@@ -117,23 +117,27 @@ def findings(df: DataFrame) -> DataFrame:
     parties = _one((a == b) & (a != ""), "CONSIGNOR_EQUALS_CONSIGNEE", "error", ["consignor", "consignee"])
     freight, total = (F.when(S.clean_money(c(k)).isNotNull(), S.signed(c(k))) for k in ("freight_amount", "total_amount"))
     above = _one(freight > total, "FREIGHT_EXCEEDS_TOTAL", "error", ["freight_amount", "total_amount"])
-    items = F.coalesce("line_items", F.array().cast(df.schema["line_items"].dataType))
+    kept = df.columns
+    raw = F.coalesce("line_items", F.array().cast(df.schema["line_items"].dataType))
+    # numbers are read once, and asked several times
+    df = df.withColumn("__items", F.transform(raw, lambda i: F.struct(*[S.signed(i[k]).alias(k) for k in ("quantity", "rate", "amount")], F.lower(S.strip(i["tag"])).alias("tag"))))
+    items = c("__items")
     per_item = lambda code, severity, n: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.array(F.lit("line_items")).alias("fields"), n.cast("int").alias("item"))
-    off = lambda i: F.abs(S.signed(i["quantity"]) * S.signed(i["rate"]) - S.signed(i["amount"])) > TOLERANCE
+    off = lambda i: F.abs(i["quantity"] * i["rate"] - i["amount"]) > TOLERANCE
     arithmetic = F.array_compact(F.transform(items, lambda i, n: F.when(off(i), per_item("LINE_ITEM_QTY_RATE_AMOUNT_MISMATCH", "warning", n))))
-    amounts = F.array_compact(F.transform(items, lambda i: S.signed(i["amount"])))
+    amounts = F.array_compact(F.transform(items, lambda i: i["amount"]))
     sum_ = F.aggregate(amounts, F.lit(0.0), lambda s, x: s + x)
     sums = _one((sum_ > 0) & (F.abs(sum_ - total) > TOLERANCE), "LINE_ITEM_SUM_MISMATCH", "error", ["line_items", "total_amount"])
     fields = [f for f in (*S.MONEY_FIELDS, "weight", "quantity") if f in df.columns]
     negative = [_one((S.signed(c(f)) < 0) & (S.clean_money(c(f)).isNotNull() if f in S.MONEY_FIELDS else F.lit(True)), "NEGATIVE_VALUE", "error", [f]) for f in fields]
-    item_negative = F.array_compact(F.flatten(F.transform(items, lambda i, n: F.array(*[F.when(S.signed(i[k]) < 0, per_item("NEGATIVE_VALUE", "error", n)) for k in ("quantity", "rate", "amount")]))))
+    item_negative = F.array_compact(F.flatten(F.transform(items, lambda i, n: F.array(*[F.when(i[k] < 0, per_item("NEGATIVE_VALUE", "error", n)) for k in ("quantity", "rate", "amount")]))))
     states = _one(c("origin_state") != c("destination_state"), "ORIGIN_DESTINATION_STATE_MISMATCH", "warning", ["origin", "destination"])
     copied = _one(S.copied_destination(c("origin"), c("destination")), "DESTINATION_COPIED_FROM_ORIGIN", "error", ["origin", "destination"])
-    tags = F.filter(F.transform(items, lambda i: F.lower(S.strip(i["tag"]))), lambda t: t != "")
+    tags = F.filter(F.transform(items, lambda i: i["tag"]), lambda t: t != "")
     twice = _one(F.size(tags) > F.size(F.array_distinct(tags)), "DUPLICATE_TAG", "warning", ["line_items"])
     peers = _one(c("peer").isNotNull(), "DUPLICATE_TAG_DATE", "warning", ["line_items", "bill_date", "consignee"])
     every = F.concat(parties, above, arithmetic.cast(f"array<{ITEM}>"), sums, *negative, item_negative.cast(f"array<{ITEM}>"), states, copied, twice, peers)
-    return df.withColumn("findings", every)
+    return df.withColumn("findings", every).select(*kept, "findings")
 
 
 def peers(tags: DataFrame) -> DataFrame:

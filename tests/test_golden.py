@@ -1,6 +1,5 @@
 """Vectors that say what single values, tickets and pages become."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from drayage.functions import seeds
@@ -23,10 +22,10 @@ VALUES = [
 ]
 
 
-@pytest.mark.parametrize("n", range(len(VALUES)), ids=lambda n: f"{VALUES[n][0].__name__}-{n}")
-def test_values(spark, n):
-    fn, given, want = VALUES[n]
-    assert spark.createDataFrame([(given,)], "c string").select(fn(F.col("c"))).first()[0] == want
+def test_values(spark):
+    rows = spark.createDataFrame([tuple(given for _, given, _ in VALUES)], ", ".join(f"c{n} string" for n in range(len(VALUES))))
+    got = rows.select(*[fn(F.col(f"c{n}")) for n, (fn, *_) in enumerate(VALUES)]).first()
+    assert [(VALUES[n][0].__name__, VALUES[n][1], v) for n, v in enumerate(got)] == [(fn.__name__, given, want) for fn, given, want in VALUES]
 
 
 def test_tickets(spark):

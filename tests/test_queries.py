@@ -12,7 +12,7 @@ from drayage.streaming import ingest
 
 DATA = "/root/testdata/sf{}"
 #: Queries with rounded or divided figures, which more rows are needed for.
-LARGER = ["field_candidates", "eval_field_metrics", "prior_pairs", "validate_bills", "calibration_status", "layout_class", "consistency"]
+LARGER = ["field_candidates", "eval_field_metrics", "calibration_status"]
 
 
 @pytest.fixture(scope="module")
