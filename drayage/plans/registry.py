@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from drayage.plans import catalog, checks, cleaning, deciding, learning, resolving, tickets, values
+from drayage.plans import catalog, checks, cleaning, deciding, evidence, learning, resolving, tickets, values
 
 QUERIES = {}
 ORACLES = {}
-for _part in (catalog, cleaning, checks, learning, resolving, tickets, values, deciding):
+for _part in (catalog, cleaning, checks, learning, resolving, tickets, values, deciding, evidence):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
