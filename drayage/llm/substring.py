@@ -1,7 +1,7 @@
 """Substring deduplication by content-defined chunks.
 
 A gear rolling hash over the bytes cuts a text wherever the hash of the last
-sixteen bytes meets a mask, so that an insertion moves only the cuts beside it.
+sixteen bytes is below a bound, so that an insertion moves only the cuts beside it.
 Chunks are known by 64-bit digests. A chunk that two documents hold belongs to
 the one of smallest id; a run of consecutive chunks that other documents hold
 too, of at least ``min_run`` bytes, is a repeated passage. Later documents lose
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from drayage.llm import textbuf as tb
 from drayage.llm.store import spare
 
-#: A cut for about every 32 bytes; a longer stretch without one is cut at MOST bytes.
-MASK, MOST = np.uint16(0xF800), 1024
+#: A cut where the hash is below CUT, for about every 26 bytes; a longer stretch without one is cut at MOST bytes.
+CUT, MOST = np.uint16((1 << 16) // 26), 1024
+#: A chunk's place is one number, start * PLACE + length, as it is shuffled.
+PLACE = 2 * MOST
 MIN_RUN = 100
 _GEAR = np.random.default_rng(11).integers(0, 1 << 16, 256, dtype=np.uint16)
 
@@ -41,7 +43,7 @@ def chunks(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if not len(buf):
         z = np.zeros(0, np.int64)
         return z, z, z
-    at = np.flatnonzero((gear(buf) & MASK) == 0) + 1
+    at = np.flatnonzero(gear(buf) < CUT) + 1
     doc = np.searchsorted(starts, at - 1, "right") - 1
     at = at[at - starts[doc] >= 16]  # the window lies in the document
     # not inside a character: what is cut stays text
@@ -71,10 +73,10 @@ def _chunk_rows(batches):
         for lo, hi, buf, starts in tb.slices(b, "text"):
             s, e, doc = chunks(buf, starts)
             h = tb.span_hashes(buf, s, e).view(np.int64)
-            own = starts[doc]
+            at = (s - starts[doc]).astype(np.int64) * PLACE + (e - s)
             for k in range(0, len(s), 100_000):
                 c = slice(k, k + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(h[c]), pa.array(ids[lo:hi][doc[c]]), pa.array((s - own)[c].astype(np.int32)), pa.array((e - own)[c].astype(np.int32))], ["h", "doc_id", "s", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[c]), pa.array(ids[lo:hi][doc[c]]), pa.array(at[c])], ["h", "doc_id", "at"])
 
 
 def repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
@@ -84,18 +86,19 @@ def repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     of the run's chunks have a smaller id than this document's, as (start, end)
     parts. Rows of one id are one document; null ids and empty texts hold nothing.
     """
-    rows = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select(F.col("doc_id").cast("long"), "text").mapInArrow(_chunk_rows, "h long, doc_id long, s int, e int")
+    rows = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select(F.col("doc_id").cast("long"), "text").mapInArrow(_chunk_rows, "h long, doc_id long, at long")
     shared = rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
-    hit = rows.join(shared, "h").groupBy("doc_id").agg(F.collect_set(F.struct("s", "e", "first")).alias("c"))
+    hit = rows.join(shared, "h").groupBy("doc_id").agg(F.collect_set(F.struct("at", "first")).alias("c"))
 
     def runs(batches):
         for b in batches:
             out: list[tuple] = []
             for doc, c in zip(b.column("doc_id").to_pylist(), b.column("c")):
                 v = c.values
-                s, e, f = (v.field(n).to_numpy() for n in ("s", "e", "first"))
-                o = np.argsort(s, kind="stable")
-                s, e, f = s[o], e[o], f[o]
+                at, f = v.field("at").to_numpy(), v.field("first").to_numpy()
+                o = np.argsort(at, kind="stable")
+                s, f = at[o] // PLACE, f[o]
+                e = s + at[o] % PLACE
                 new = np.flatnonzero(np.r_[True, s[1:] != e[:-1]])
                 stop = np.r_[new[1:], len(s)]
                 for a, z in zip(new, stop):

@@ -71,7 +71,7 @@ def _chunks(raw: bytes):
     at, start, out = 0, 0, []
     for i in range(len(raw)):
         h = sum(int(substring._GEAR[raw[j]]) << (i - j) for j in range(max(0, i - 15), i + 1)) & 0xFFFF
-        if i + 1 >= 16 and h & int(substring.MASK) == 0 and (i + 1 == len(raw) or raw[i + 1] & 0xC0 != 0x80):
+        if i + 1 >= 16 and h < int(substring.CUT) and (i + 1 == len(raw) or raw[i + 1] & 0xC0 != 0x80):
             out.append((start, i + 1))
             start = i + 1
     if start < len(raw):
