@@ -14,10 +14,16 @@ FULL = [("consignor", "consignee", "origin", "destination", "carrier"), ("consig
 
 
 def edges(reviewed: DataFrame, relations: list[tuple[str, ...]]) -> DataFrame:
-    """(relation, given_key, target, cnt, prob, rank): one pass over the bills, whatever the relations."""
-    whole = [F.struct(F.lit(">".join(r)).alias("relation"), F.concat_ws("|", *[collapse(F.col(c)) for c in r[:-1]]).alias("given_key"), F.col(r[-1]).alias("target"), _all(r).alias("ok")) for r in relations]
-    e = reviewed.select(F.explode(F.array(*whole)).alias("e")).select("e.*").where("ok")
-    e = e.groupBy("relation", "given_key", collapse(F.col("target")).alias("target_key")).agg(F.min("target").alias("target"), F.count("*").alias("cnt"))
+    """(relation, given_key, target, cnt, prob, rank): one pass over the bills, whatever the relations.
+
+    Bills that say the same are counted first, so keys are made once for each
+    distinct bill and not for each bill and relation.
+    """
+    fields = list(dict.fromkeys(c for r in relations for c in r))
+    alike = reviewed.groupBy(*fields).agg(F.count("*").alias("n")).select("n", *fields, *[collapse(F.col(c)).alias(f"{c}_key") for c in fields])
+    whole = [F.struct(F.lit(">".join(r)).alias("relation"), F.concat_ws("|", *[f"{c}_key" for c in r[:-1]]).alias("given_key"), F.col(f"{r[-1]}_key").alias("target_key"), F.col(r[-1]).alias("target"), _all(r).alias("ok")) for r in relations]
+    e = alike.select("n", F.explode(F.array(*whole)).alias("e")).select("n", "e.*").where("ok")
+    e = e.groupBy("relation", "given_key", "target_key").agg(F.min("target").alias("target"), F.sum("n").alias("cnt"))
     group = Window.partitionBy("relation", "given_key")
     rank = F.row_number().over(group.orderBy(F.desc("cnt"), F.lower("target")))
     return e.select("relation", "given_key", "target", "cnt", F.round(F.col("cnt") / F.sum("cnt").over(group), 4).alias("prob"), rank.alias("rank"))
@@ -26,7 +32,7 @@ def edges(reviewed: DataFrame, relations: list[tuple[str, ...]]) -> DataFrame:
 def _all(r: tuple[str, ...]) -> Column:
     ok = F.lit(True)
     for c in r:
-        ok &= F.coalesce(collapse(F.col(c)) != "", F.lit(False))
+        ok &= F.coalesce(F.col(f"{c}_key") != "", F.lit(False))
     return ok
 
 
