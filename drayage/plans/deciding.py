@@ -37,7 +37,7 @@ def likely_entities(spark, d):
     """What history finds likely for a bill of which some parties are known: how many of each, and the first."""
     b = bills(spark, d).withColumns({"consignee": F.expr(_LOST.format(2, "consignee")), "consignor": F.expr(_LOST.format(3, "consignor"))})
     e = D.likely_entities(b, _edges(spark, d))
-    return e.select("doc_id", *[c for k in ("carriers", "consignees", "drivers", "destinations") for c in (F.size(F.coalesce(k, F.array().cast(e.schema[k].dataType))).alias(f"n_{k}"), F.get(k, F.lit(0))["value"].alias(f"first_{k}"))])
+    return e.select("doc_id", *[c for k in ("carriers", "consignees", "drivers", "destinations") for c in (F.coalesce(F.col(k)["n"], F.lit(0)).alias(f"n_{k}"), F.col(k)["value"].alias(f"first_{k}"))])
 
 
 def label_outcomes(spark, d):

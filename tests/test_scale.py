@@ -43,3 +43,10 @@ def test_alike_fields_are_ranked_once(spark, repeated):
     bills = sum(r.n for r in rows if r.field == "carrier")
     assert bills > COPIES * 1000
     assert max(n for name, n in nodes if "Join" in name) <= bills
+
+
+@pytest.mark.parametrize("name", ["likely_entities", "peaked_fill"])
+def test_history_is_gathered_once(spark, repeated, name):
+    _, nodes = ran(registry.QUERIES[name](spark, repeated))
+    # once for the bills that ask, once for their cases, once for the reviewed ones
+    assert sum("Scan parquet" in n for n, _ in nodes) <= 3 * 6
