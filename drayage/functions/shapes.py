@@ -57,7 +57,7 @@ def let(value: Column, fn) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def letters(c: Column) -> Column:
@@ -80,6 +80,11 @@ def is_header(c: Column) -> Column:
     return let(strip(c), _header)
 
 
+def stripped_header(t: Column) -> Column:
+    """``is_header`` of a value that has no white space at its ends."""
+    return _header(t)
+
+
 def _junk(t: Column) -> Column:
     def of(words: Column) -> Column:
         n = F.size(words)
@@ -147,8 +152,12 @@ def trusted(field: str, c: Column) -> Column:
 
 
 def person_name(c: Column) -> Column:
-    t = strip(c)
-    ok = ~is_header(t) & ~t.rlike(r"\d{3,}") & ~t.rlike(r"(?i)\b(INC|LLC|CORP|LTD|MATERIALS|CONCRETE)\b") & t.rlike(r"^[A-Za-z][A-Za-z'`.-]{1,24}(?:\s+[A-Za-z][A-Za-z'.]{0,20}){1,2}$")
+    return let(strip(c), stripped_person)
+
+
+def stripped_person(t: Column) -> Column:
+    """``person_name`` of a value that has no white space at its ends."""
+    ok = t.rlike(r"^[A-Za-z][A-Za-z'`.-]{1,24}(?:\s+[A-Za-z][A-Za-z'.]{0,20}){1,2}$") & ~t.rlike(r"\d{3,}") & ~t.rlike(r"(?i)\b(INC|LLC|CORP|LTD|MATERIALS|CONCRETE)\b") & ~_header(t)
     return F.coalesce(ok, F.lit(False))
 
 

@@ -25,13 +25,20 @@ def lines(text: Column, empty: bool = True) -> Column:
     return ls if empty else F.filter(ls, lambda x: x != "")
 
 
+def _spelled(words: list[str], whole: bool = False) -> str:
+    """Pattern, for upper case, of words whose letters may have anything but letters between them."""
+    gap = "[^A-Z]*"
+    any_ = "|".join(gap.join(w) for w in words)
+    return f"^{gap}(?:{any_}){gap}$" if whole else any_
+
+
 def _first(values: Column) -> Column:
     return F.get(F.array_compact(values), F.lit(0))
 
 
 def letterhead_carrier(text: Column) -> Column:
     """First of 25 lines that looks like a registered company."""
-    ok = lambda x: (F.length(x) >= 8) & ~S.is_header(x) & x.rlike(COMPANY) & (F.length(S.letters(x)) >= 8)
+    ok = lambda x: (F.length(x) >= 8) & x.rlike(COMPANY) & ~S.stripped_header(x) & (F.length(S.letters(x)) >= 8)
     return F.get(F.filter(F.slice(lines(text), 1, 25), ok), F.lit(0))
 
 
@@ -43,31 +50,42 @@ def _place_of(values: Column, test, last: bool = False) -> Column:
 
 def route(text: Column) -> Column:
     """struct(origin, destination) of the lines after the point-of-origin header."""
-    ls = lines(text, empty=False)
-    start = _place_of(ls, lambda x: F.regexp_replace(F.upper(x), "[^A-Z]", "").rlike("POINTOFORIGIN|POINTOFDESTINATION"))
-    window = F.filter(F.slice(ls, start + 1, F.lit(13)), lambda x: ~S.is_header(x) & ~x.rlike(r"(?i)^(YR|MO|DAY|DATE)[\s.]*\d*$") & ~x.rlike(r"(?i)^YR\.?\s*\d+"))
-    stop = _place_of(window, lambda x: x.rlike(r"(?i)load|commodity|tag\s*number|weight|unload") & (F.length(x) < 24))
-    geo = F.slice(window, F.lit(1), F.least(F.coalesce(stop - 1, F.lit(6)), F.lit(6)))
-    rest = F.slice(geo, F.lit(2), F.lit(5))
-    end = _place_of(rest, lambda x: x.rlike("(?i)load|commodity|tag|weight|unload"))
-    parts = F.slice(rest, F.lit(1), F.least(F.coalesce(end - 1, F.lit(4)), F.lit(4)))
-    return F.when(start.isNotNull(), F.struct(F.get(geo, F.lit(0)).alias("origin"), F.nullif(F.array_join(parts, " "), F.lit("")).alias("destination")))
+
+    def found(geo: Column) -> Column:
+        rest = F.slice(geo, F.lit(2), F.lit(5))
+        end = _place_of(rest, lambda x: x.rlike("(?i)load|commodity|tag|weight|unload"))
+        parts = F.slice(rest, F.lit(1), F.least(F.coalesce(end - 1, F.lit(4)), F.lit(4)))
+        return F.struct(F.get(geo, F.lit(0)).alias("origin"), F.nullif(F.array_join(parts, " "), F.lit("")).alias("destination"))
+
+    def ahead(window: Column) -> Column:
+        stop = _place_of(window, lambda x: x.rlike(r"(?i)load|commodity|tag\s*number|weight|unload") & (F.length(x) < 24))
+        return S.let(F.slice(window, F.lit(1), F.least(F.coalesce(stop - 1, F.lit(6)), F.lit(6))), found)
+
+    def after(ls: Column) -> Column:
+        place = _place_of(ls, lambda x: F.upper(x).rlike(_spelled(["POINTOFORIGIN", "POINTOFDESTINATION"])))
+        own = lambda x: ~S.stripped_header(x) & ~x.rlike(r"(?i)^(YR|MO|DAY|DATE)[\s.]*\d*$") & ~x.rlike(r"(?i)^YR\.?\s*\d+")
+        return S.let(place, lambda start: F.when(start.isNotNull(), S.let(F.filter(F.slice(ls, start + 1, F.lit(13)), own), ahead)))
+
+    return S.let(lines(text, empty=False), after)
 
 
 def import_fill(text: Column) -> Column:
+    # all of the patterns have these letters in them
     apart = text.rlike(r"(?i)\bt?mport\b|\bimport\b") & text.rlike(r"(?i)(?:^|\n)\s*fill\s*(?:\n|$)")
-    return F.when(text.rlike(IMPORT_FILL) | apart, "Import Fill")
+    return F.when(F.lower(text).contains("por") & (text.rlike(IMPORT_FILL) | apart), "Import Fill")
 
 
 def aggregate_commodity(text: Column) -> Column:
     """struct(quantity, commodity) of a size and a product, even when a tag is glued on; else import fill."""
     named, glued = r"(?i)(\d+)\s*[x×]\s*(\d+)\s+(Rock|Gravel|Sand|Dirt|Base|Stone)\b", r"(?i)(?:(?<=\n)|(?<=\s)|^)(?:(\d)\s*)?[x×]\s*(\d)\s*([A-Za-z]{3,8})(\d{5,})"
     part = lambda p, i: F.nullif(F.regexp_extract(text, p, i), F.lit(""))
-    first = F.when(part(named, 3).isNotNull(), F.struct(part(named, 1).alias("quantity"), F.concat(part(named, 1), F.lit(" x "), part(named, 2), F.lit(" "), F.initcap(part(named, 3))).alias("commodity")))
+    sized = text.rlike(r"[xX×]\s*\d")
+    first = F.when(sized & text.rlike(named), F.struct(part(named, 1).alias("quantity"), F.concat(part(named, 1), F.lit(" x "), part(named, 2), F.lit(" "), F.initcap(part(named, 3))).alias("commodity")))
     n = F.coalesce(part(glued, 1), F.lit("1"))
     word = F.when(part(glued, 3).rlike("(?i)^[br]o?c?k"), "Rock").otherwise(F.initcap(part(glued, 3)))
-    second = F.when(part(glued, 4).isNotNull(), F.struct(n.alias("quantity"), F.concat(n, F.lit(" x "), part(glued, 2), F.lit(" "), word).alias("commodity")))
-    return F.coalesce(first, second, F.when(import_fill(text).isNotNull(), F.struct(F.lit(None).cast("string").alias("quantity"), import_fill(text).alias("commodity"))))
+    second = F.when(sized & text.rlike(glued), F.struct(n.alias("quantity"), F.concat(n, F.lit(" x "), part(glued, 2), F.lit(" "), word).alias("commodity")))
+    fill = S.let(import_fill(text), lambda x: F.when(x.isNotNull(), F.struct(F.lit(None).cast("string").alias("quantity"), x.alias("commodity"))))
+    return F.coalesce(first, second, fill)
 
 
 def table_commodity(text: Column) -> Column:
@@ -82,16 +100,19 @@ def truck_number(text: Column) -> Column:
     behind = F.regexp_extract(text, rf"(?s)^.*?{TRUCK_LABEL}(.*)$".replace("(?i)", "").replace("(?s)", "(?is)"), 1)
     some = F.slice(F.filter(lines(behind), lambda x: x != ""), 1, 8)
     unit = lambda x: F.nullif(F.regexp_extract(x, r"\b(\d{1,4}[A-Za-z]?)\b", 1), F.lit(""))
-    ok = lambda x: ~S.is_header(x) & x.rlike(r"\d") & ~x.rlike("(?i)^CMAT$") & (F.length(F.regexp_replace(x, r"\D", "")) < 5)
+    ok = lambda x: x.rlike(r"\d") & ~S.stripped_header(x) & ~x.rlike("(?i)^CMAT$") & (F.length(F.regexp_replace(x, r"\D", "")) < 5)
     return F.when(text.rlike(TRUCK_LABEL), _first(F.transform(some, lambda x: F.when(ok(x), F.coalesce(unit(x), F.when(F.length(x) <= 12, x))))))
 
 
 def signature_driver(text: Column) -> Column:
     """First person's name from the last signature label on, or in the last 16 lines."""
-    ls = lines(text, empty=False)
-    start = _place_of(ls, lambda x: F.regexp_replace(F.upper(x), "[^A-Z]", "").isin(SIGNATURE_LABELS), last=True)
-    some = F.slice(ls, F.coalesce(start, F.greatest(F.size(ls) - 15, F.lit(1))), F.greatest(F.size(ls), F.lit(1)))
-    return F.get(F.filter(some, S.person_name), F.lit(0))
+
+    def named(ls: Column) -> Column:
+        start = _place_of(ls, lambda x: F.upper(x).rlike(_spelled(SIGNATURE_LABELS, whole=True)), last=True)
+        some = F.slice(ls, F.coalesce(start, F.greatest(F.size(ls) - 15, F.lit(1))), F.greatest(F.size(ls), F.lit(1)))
+        return F.get(F.filter(some, S.stripped_person), F.lit(0))
+
+    return S.let(lines(text, empty=False), named)
 
 
 def cargo_line(text: Column) -> Column:

@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from drayage.operators import decisions, extract, priors
 from drayage.plans import registry
 
 COPIES = 20
@@ -46,7 +48,21 @@ def test_alike_fields_are_ranked_once(spark, repeated):
 
 
 @pytest.mark.parametrize("name", ["likely_entities", "peaked_fill"])
-def test_history_is_gathered_once(spark, repeated, name):
-    _, nodes = ran(registry.QUERIES[name](spark, repeated))
-    # once for the bills that ask, once for their cases, once for the reviewed ones
-    assert sum("Scan parquet" in n for n, _ in nodes) <= 3 * 6
+def test_lists_of_history_stay_behind(spark, repeated, name):
+    df = registry.QUERIES[name](spark, repeated)
+    assert df.columns and "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lookup_says_where_the_list_is(spark):
+    past = [("S", "T", "X", "d", "o", "p")] * 3 + [("S", "U", "Y", "d", "o", "p"), (None, "U", "Y", "d", "o", "p")]
+    b = spark.createDataFrame([(i, *r) for i, r in enumerate(past)], "doc_id long, consignor string, consignee string, carrier string, driver_name string, origin string, destination string")
+    edges = priors.edges(b, priors.PAIRS)
+    got = decisions.look_up(b, edges, ["c_ship", "consignees"]).orderBy("doc_id").collect()
+    assert [r.c_ship and (r.c_ship.n, r.c_ship.value, r.c_ship.cnt, r.c_ship.prob) for r in got] == [(2, "X", 3, 0.75)] * 4 + [None]
+    said = got[0].consignees
+    assert edges.where((F.col("relation") == said.relation) & (F.col("given_key") == said.given_key)).count() == said.n == 2
+
+
+def test_lines_of_a_text_are_split_once(spark):
+    for fn in (extract.route, extract.signature_driver):
+        assert str(fn(F.col("t"))).count("split(") == 1
