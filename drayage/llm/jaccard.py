@@ -199,7 +199,7 @@ def _votes(turn: int):
 
 
 def _candidates(batches):
-    """Rows (x, y, nx, ny, lists): pairs that share lists and have neither component nor pivot in common."""
+    """Rows (x, y, nx, ny, lists): pairs that share lists, have neither component nor pivot in common, and may link by their parities."""
     held: list[np.ndarray] = []
     size = 0
 
@@ -221,24 +221,42 @@ def _candidates(batches):
         stops = np.r_[cuts[1:], len(c["h"])]
         n, rep, lists = c["n"].astype(np.int64), c["rep"], c["lists"]
         groups = np.stack([c[k] for k in _GROUPS])
-        short = _short(cuts, stops, n, rep, groups, lists)
+        bits = np.stack([c[k] for k in _PARITIES]).view(np.uint64)  # bits of a signed number are counted of its absolute value
+        short = _short(cuts, stops, n, rep, groups, lists, bits)
         held += short
         size += sum(map(len, short))
         for a, z in zip(cuts[stops - cuts > LONG], stops[stops - cuts > LONG]):
             if (groups[:, a:z] == groups[:, a : a + 1]).all(1).any():
                 continue
-            for p in _all(n[a:z], rep[a:z], groups[:, a:z], lists[a:z]):
+            for p in _all(n[a:z], rep[a:z], groups[:, a:z], lists[a:z], bits[:, a:z]):
                 held.append(p)
                 size += len(p)
                 if size > FLUSH // 2:
                     yield summed()
                     held, size = [], 0
 
-    return _runs(["h", "n", "rep", "lists", *_GROUPS])(fn)(batches)
+    return _runs(["h", "n", "rep", "lists", *_GROUPS, *_PARITIES])(fn)(batches)
 
 
 #: A set's component, and its pivot of each round: itself, where it has none.
 _GROUPS = ["comp", *[f"p{k}" for k in range(ROUNDS)]]
+#: 256 bits of a set: whether the shingles that fall on a bit are odd in number.
+_PARITIES = [f"s{k}" for k in range(4)]
+
+
+def _parities(batches):
+    """(rep, s0, …) of each document."""
+    for b in batches:
+        for lo, hi, buf, starts in tb.slices(b, "text"):
+            odd = [np.packbits(np.bincount((x >> np.uint64(40) & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1) for x in sets(buf, starts)]
+            bits = np.stack(odd).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *(pa.array(bits[:, k].copy()) for k in range(len(_PARITIES)))], ["rep", *_PARITIES])
+
+
+def _near(bits, n, i, other):
+    """Whether sets may link: a bit differs only if an odd number of shingles do, and links leave few that differ."""
+    differ = np.bitwise_count(bits[:, i] ^ bits[:, other]).sum(0, dtype=np.int64)
+    return differ * (NUM + DEN) <= (n[i] + n[other]) * (DEN - NUM)
 
 
 def _reach(n: np.ndarray) -> np.ndarray:
@@ -258,13 +276,14 @@ def _needed(nx, ny):
     return (nx + ny) * NUM / (NUM + DEN) - unseen - 1e-6
 
 
-def _rows(n, rep, lists, other, i):
+def _rows(n, rep, lists, bits, other, i):
     other = other[np.minimum(lists[other], lists[i]) >= _needed(n[other], n[i])]
+    other = other[_near(bits, n, np.full(len(other), i), other)]
     swap = rep[other] < rep[i]
     return np.stack([np.where(swap, rep[other], rep[i]), np.where(swap, rep[i], rep[other]), np.where(swap, n[other], n[i]), np.where(swap, n[i], n[other])], 1)
 
 
-def _short(cuts, stops, n, rep, groups, lists):
+def _short(cuts, stops, n, rep, groups, lists, bits):
     """All pairs of all lists that are not long, by distance in the list."""
     many = np.repeat(stops - cuts, stops - cuts)
     left = np.repeat(stops, stops - cuts) - np.arange(len(n))  # places to the list's end
@@ -275,17 +294,18 @@ def _short(cuts, stops, n, rep, groups, lists):
             break
         i = i[(groups[:, i] != groups[:, i + d]).all(0) & (n[i + d] * NUM <= n[i] * DEN)]
         i = i[np.minimum(lists[i], lists[i + d]) >= _needed(n[i], n[i + d])]
+        i = i[_near(bits, n, i, i + d)]
         if len(i):
             swap = rep[i] > rep[i + d]
             out.append(np.stack([np.where(swap, rep[i + d], rep[i]), np.where(swap, rep[i], rep[i + d]), np.where(swap, n[i + d], n[i]), np.where(swap, n[i], n[i + d])], 1))
     return out
 
 
-def _all(n, rep, groups, lists):
+def _all(n, rep, groups, lists, bits):
     for i, z in enumerate(_reach(n)):
         other = i + 1 + np.flatnonzero((groups[:, i + 1 : z] != groups[:, i : i + 1]).all(0))
         if len(other):
-            yield _rows(n, rep, lists, other, i)
+            yield _rows(n, rep, lists, bits, other, i)
 
 
 def _whole(batches):
@@ -484,11 +504,14 @@ def join(docs: DataFrame) -> DataFrame:
 
     labels = nodes.select("rep", "lists", *[F.col("rep").alias(k) for k in _GROUPS])
     for turn in [*range(ROUNDS), None]:
-        marked = lists.join(small(labels, n_nodes), "rep")
-        if n_nodes * len(labels.columns) > SMALL:
+        known = labels
+        if turn is None:  # a pair that can't link by its sets' parities is not counted in every task that holds one of its lists
+            known = cut(labels.join(docs.join(small(nodes.select(F.col("rep").alias("doc_id")), n_nodes), "doc_id", "left_semi").mapInArrow(_parities, ", ".join(["rep long", *(f"{k} long" for k in _PARITIES)])), "rep"))
+        marked = lists.join(small(known, n_nodes), "rep")
+        if n_nodes * len(known.columns) > SMALL:
             marked = marked.repartition("g", "part").sortWithinPartitions("g", "part", "h", "n", "rep")
         if turn is None:
-            pairs = marked.select("h", "n", "rep", "lists", *_GROUPS).mapInArrow(_candidates, "x long, y long, nx long, ny long, lists long")
+            pairs = marked.select("h", "n", "rep", "lists", *_GROUPS, *_PARITIES).mapInArrow(_candidates, "x long, y long, nx long, ny long, lists long")
             pairs = pairs.groupBy("x", "y", "nx", "ny").agg(F.sum("lists").alias("lists"))
             pairs = cut(pairs.where(F.col("lists") >= _short_of("nx", "ny") - 1e-6).select("x", "y"))
         else:
